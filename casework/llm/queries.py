@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from .cotrain import op5_quality
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .line_dedup import OP8_SQL, op8_line_dedup
+from .secrets import op3_secrets
+from .sentencepiece_bpe import op4_sentencepiece
+from .toxicity import op9_toxicity
+from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op3_secrets": op3_secrets,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_quality": op5_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_line_dedup": op8_line_dedup,
+    "op9_toxicity": op9_toxicity,
 }
 SQL = {
+    "op1_warc": OP1_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
 }

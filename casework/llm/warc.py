@@ -80,7 +80,7 @@ class BundleWriter:
     def add(self, record: bytes) -> tuple[str, int, int, int]:
         if self.out is None:
             self.name = f"{uuid.uuid4().hex}.warc.zst"
-            self.out = self.fs.open_output_stream(f"{self.folder}/{self.name}")
+            self.out = self.fs.open_output_stream(f"{self.folder}/{self.name}", compression=None)
             self.frames: list[tuple[int, int]] = []
             self.buffer, self.size, self.written = [], 0, 0
         if self.buffer and self.size + len(record) > FRAME_BYTES:
@@ -127,12 +127,11 @@ class BundleReader:
         for compressed, _ in self.sizes:
             self.starts.append(at)
             at += compressed
-        self.decompress = zstandard.ZstdDecompressor().decompress
 
     def frame(self, number: int) -> bytes:
         compressed, size = self.sizes[number]
         self.file.seek(self.starts[number])
-        return self.decompress(self.file.read(compressed), max_output_size=max(1, size))
+        return zstandard.ZstdDecompressor().decompress(self.file.read(compressed), max_output_size=max(1, size))
 
     def close(self) -> None:
         self.file.close()
