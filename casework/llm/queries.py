@@ -5,6 +5,7 @@ from __future__ import annotations
 from .cotrain import op5_quality
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .line_dedup import OP8_SQL, op8_line_dedup
+from .ngram_join import op10_ngram_join
 from .secrets import op3_secrets
 from .sentencepiece_bpe import op4_sentencepiece
 from .toxicity import op9_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_ngram_join": op10_ngram_join,
 }
 SQL = {
     "op1_warc": OP1_SQL,
