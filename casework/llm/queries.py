@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .chaining import op6_passages
 from .cotrain import op5_quality
+from .decontaminate import op2_decontaminate
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .ngram_join import op10_ngram_join
@@ -13,9 +15,11 @@ from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_decontaminate": op2_decontaminate,
     "op3_secrets": op3_secrets,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_quality": op5_quality,
+    "op6_passages": op6_passages,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
