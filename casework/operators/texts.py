@@ -85,10 +85,17 @@ def extract_messages(records: DataFrame, key: str, arrays: tuple[str, ...] = ("c
     """Messages of a record from any of its message arrays (strings, or structs with id and body) and single text fields; trimmed, empty ones dropped."""
     have = dict(records.dtypes)
     parts = []
-    for name in arrays:
-        if name in have:
-            struct = "struct" in have[name]
-            parts.append(F.transform(F.coalesce(name, F.array().cast(have[name])), lambda m, i, name=name, struct=struct: F.struct(F.coalesce(m["id"].cast("string") if struct else F.lit(None).cast("string"), F.concat(F.lit(f"{name}-"), i.cast("string"))).alias("message_id"), F.trim(m["body"] if struct else m).alias("body"))))
+
+    def messages_of(name: str):
+        fields = "struct" in have[name]
+
+        def message(m, i):
+            own = m["id"].cast("string") if fields else F.lit(None).cast("string")
+            return F.struct(F.coalesce(own, F.concat(F.lit(f"{name}-"), i.cast("string"))).alias("message_id"), F.trim(m["body"] if fields else m).alias("body"))
+
+        return F.transform(F.coalesce(name, F.array().cast(have[name])), message)
+
+    parts += [messages_of(name) for name in arrays if name in have]
     for name in singles:
         if name in have:
             parts.append(F.array(F.struct(F.lit(name).alias("message_id"), F.trim(name).alias("body"))))

@@ -23,7 +23,8 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     items = F.from_json("value", T.ArrayType(T.StringType()))
     wrapped = F.from_json("value", T.StructType([T.StructField("records", T.ArrayType(T.StringType()))]))["records"]
     lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
-    texts = F.when(first == "[", items).when(wrapped.isNotNull(), wrapped).when(F.try_parse_json("value").isNotNull(), F.array("value")).otherwise(lines)
+    each = F.forall(lines, lambda x: F.startswith(F.trim(x), F.lit("{")) & F.try_parse_json(x).isNotNull())
+    texts = F.when(first == "[", items).when(wrapped.isNotNull(), wrapped).when((F.size(lines) > 1) & each, lines).otherwise(F.array("value"))
     return whole.select(F.explode(texts).alias("item")).filter(F.substring(F.trim("item"), 1, 1) == "{").select(F.from_json("item", schema).alias("r")).select("r.*")
 
 
