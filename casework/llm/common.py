@@ -50,8 +50,11 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-#: Lets Catalyst put a Bloom filter of the smaller side before the shuffle of a join's larger side, at any size. Its bits are bounded (8 MB).
+#: Lets Catalyst put a Bloom filter of the smaller side before the shuffle of a join's larger side, at any size. Its bits are bounded (1 MB by
+#: default). Broadcasts are off so that small and large inputs get one plan.
 BLOOM_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": str(1 << 40),

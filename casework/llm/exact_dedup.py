@@ -148,7 +148,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         scratch,
         "groups",
         rows.withColumn("key", key),
-        suspects.select(key.alias("key")).distinct(),
+        scratch.table(suspects.select(key.alias("key"), "suspect").distinct(), "suspects").filter("suspect = 1").select("key"),
         "key",
         lambda joined: joined.select("id", F.length("text").alias("n"), squeezed.alias("squeezed"))
         .groupBy("squeezed")

@@ -2,17 +2,20 @@
 
 Sets fall into bands of sizes so that a set can only be similar to sets of its own and the
 neighbouring bands. Within a band, similar sets differ in at most ``H`` shingles. A hash
-deals all shingles to ``H + 1`` segments, so two similar sets agree exactly in one segment
-at least. Every set is indexed by its segments.
-
-An empty segment is an index entry that costs most and says least. It is left out; instead
-the segment after it is indexed with its one-deletion neighbourhood, so that this one may
-differ by one shingle. What the pigeonhole loses by the one it gains by the other.
-
-Sets that share an index entry are candidates. Of each entry's sets, only the smallest id
-is compared with the others, and sets which that leaves in other components go on among
-themselves, so that no entry makes all its pairs. Candidates are verified on their whole
-sets of 64-bit shingle hashes.
+deals all shingles to ``H + 1 + S`` segments, so two similar sets agree exactly in
+``1 + S`` segments at least. Every set is indexed by its segments.
+
+What a segment costs in candidates is how many sets have it too. The allocation follows
+that: the ``S`` dearest entries of each set are left out, as by the pigeonhole principle
+two similar sets still share one of the others. An empty segment costs most and says
+least; it has no entry and counts as one of the ``S``. A set with more empty segments than
+that leaves out nothing, and indexes the segment after each empty one with its
+one-deletion neighbourhood: what the pigeonhole loses by the empty one it gains there.
+
+Sets that share an index entry are candidates. First each set is compared with one hub of
+its entries, the set that it has most in common with; after that only candidates in
+different components of links. Candidates are verified on their whole sets of 64-bit
+shingle hashes.
 """
 
 from __future__ import annotations
@@ -26,8 +29,6 @@ from .common import Scratch, bloom_join
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
-#: Sets that are left in an entry, in several components, up to which they are compared in pairs rather than with the smallest again.
-FEW = 32
 NO_ID = -(1 << 63)
 
 
@@ -44,35 +45,48 @@ def budget(end: int, percent: int) -> int:
     return (end + end * 100 // percent) * (100 - percent) // (100 + percent)
 
 
-def entries(shingles: np.ndarray, percent: int, ends: list[int]) -> np.ndarray:
-    """Index entries of one set, in the group of its own band and in that of the band below."""
+def segments(end: int, percent: int) -> tuple[int, int]:
+    """Segments of a band and how many dear entries a set may leave out; segments keep four shingles each or as many as the budget allows."""
+    h = budget(end, percent)
+    m = max(h + 1, min(h + 1 + h // 2, end // 4))
+    return m, m - h - 1
+
+
+def entries(shingles: np.ndarray, percent: int, ends: list[int]) -> list[tuple[np.ndarray, int]]:
+    """Index entries of one set, in the group of its own band and in that of the band below, each with the number of them that may be left out."""
     n = len(shingles)
+    out = []
     if not n:
-        return np.zeros(0, np.uint64)
+        return out
     band = int(np.searchsorted(ends, n))
-    out = []
     with np.errstate(over="ignore"):
         spread = mix(shingles * np.uint64(0xD6E8FEB86659FD93))
         for group in (band, band - 1):
-            h = budget(ends[group], percent) if group >= 0 else 0
-            if not h:
+            if group < 0 or not budget(ends[group], percent):
                 continue  # only equal sets are similar there, and they are one set here
-            m = h + 1
+            m, spare = segments(ends[group], percent)
             segment = (mix(shingles + np.uint64(group)) % np.uint64(m)).astype(np.int64)
             sums = np.zeros(m, np.uint64)
             np.add.at(sums, segment, spread)
             full = np.bincount(segment, minlength=m) > 0
             tags = mix((np.uint64(group) << np.uint64(40)) + np.arange(m, dtype=np.uint64))
-            out.append(mix(sums[full] ^ tags[full]))
-            for i in np.flatnonzero(~full):
-                j = (i + 1) % m
-                near = np.concatenate([sums[j : j + 1], sums[j] - spread[segment == j]])
-                out.append(mix(near ^ mix(tags[i : i + 1] + tags[j])))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+            found = [mix(sums[full] ^ tags[full])]
+            empty = np.flatnonzero(~full)
+            if len(empty) > spare:
+                for i in empty:
+                    j = (i + 1) % m
+                    near = np.concatenate([sums[j : j + 1], sums[j] - spread[segment == j]])
+                    found.append(mix(near ^ mix(tags[i : i + 1] + tags[j])))
+            out.append((np.unique(np.concatenate(found)), max(0, spare - len(empty))))
+    return out
+
+
+ENTRY = "array<struct<spare:int,entries:array<bigint>>>"
 
 
 def _index(k: int, percent: int):
     ends = band_ends(percent)
+    kind = pa.list_(pa.struct([("spare", pa.int32()), ("entries", pa.list_(pa.int64()))]))
 
     def run(batches):
         for batch in batches:
@@ -80,13 +94,14 @@ def _index(k: int, percent: int):
             with np.errstate(over="ignore"):
                 first = [int(s.sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
                 second = [int(mix(s).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
+            groups = [[{"spare": spare, "entries": e.view(np.int64)} for e, spare in entries(s, percent, ends)] for s in sets]
             yield pa.record_batch(
                 {
                     "id": batch.column("id"),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "s1": pa.array(np.array(first, np.uint64).view(np.int64)),
                     "s2": pa.array(np.array(second, np.uint64).view(np.int64)),
-                    "entries": pa.array([entries(s, percent, ends).view(np.int64) for s in sets], pa.list_(pa.int64())),
+                    "groups": pa.array(groups, kind),
                 }
             )
 
@@ -155,49 +170,38 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     scratch = Scratch(docs.sparkSession, "ngram-join")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    indexed = scratch.table(rows.mapInArrow(_index(words, percent), "id long, n long, s1 long, s2 long, entries array<long>"), "indexed")
+    full = scratch.table(rows.mapInArrow(_index(words, percent), f"id long, n long, s1 long, s2 long, groups {ENTRY}"), "full")
+    indexed = scratch.table(full.drop("groups"), "indexed")
 
     # Equal sets are one set, under its smallest id.
     same = indexed.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("set_id"))
-    of_set = indexed.filter("n > 0").select("id", "s1", "s2").join(same, ["s1", "s2"])
-    first = scratch.table(of_set.filter("id = set_id").select("s1", "s2", "id").distinct(), "first")
-    once = indexed.join(first, ["id", "s1", "s2"], "left_semi").filter(F.size("entries") > 0)
-    places = once.select(F.explode("entries").alias("entry"), "id", "n")
-    entry = Window.partitionBy("entry")
-    shared = places.withColumn("hub", F.min("id").over(entry)).withColumn("last", F.max("id").over(entry)).filter("hub < last")
-    shared = scratch.table(shared.select("entry", "id", "n", "hub"), "shared")
+    first = scratch.table(indexed.filter("n > 0").select("id", "s1", "s2").join(same, ["s1", "s2"]).filter("id = set_id").select("s1", "s2", "id").distinct(), "first")
+    once = full.join(first, ["id", "s1", "s2"], "left_semi").select("id", "n", F.posexplode("groups").alias("side", "g"))
+    places = once.select("id", "n", "side", F.col("g.spare").alias("spare"), F.explode("g.entries").alias("entry"))
+    # Most entries have one set; they are counted where they lie, and a Bloom filter of the others keeps them out of the join.
+    common = scratch.table(places.groupBy("entry").agg(F.count("*").alias("sets"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high"), "common")
+    shared = bloom_join(scratch, "shared", places, common.filter("sets > 1").select("entry", "sets"), "entry", lambda joined: joined)
+    scratch.drop("full", "common")
+    dear = F.row_number().over(Window.partitionBy("id", "n", "side").orderBy(F.desc("sets"), F.desc("entry")))
+    kept = scratch.table(shared.withColumn("dear", dear).filter("dear > spare").select("entry", "id", "n"), "kept")
 
     sets = bloom_join(
-        scratch, "sets", rows, shared.filter("n > 0").select("id").distinct(), "id",
+        scratch, "sets", rows, scratch.table(kept.select("id").distinct().withColumn("n", F.lit(1)), "candidates").filter("n > 0").select("id"), "id",
         lambda joined: joined.select("id", "text").mapInArrow(_sets(words), "id long, shingles array<long>"),
     )
     join = _Join(scratch, sets, percent)
 
-    sizes = shared.filter("id = hub").select(F.col("entry"), F.col("n").alias("hub_n"))
-    close = F.greatest("n", "hub_n") * percent <= F.least("n", "hub_n") * 100
-    stars = scratch.table(shared.filter("id <> hub").join(sizes.distinct(), "entry").filter(close).groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("common")), "stars")
+    close = F.greatest("n", "m") * percent <= F.least("n", "m") * 100
+    hubs = kept.groupBy("entry").agg(F.min_by(F.struct("id", "n"), "id").alias("hub"), F.count("*").alias("sets")).filter("sets > 1").select("entry", F.col("hub.id").alias("hub"), F.col("hub.n").alias("m"))
+    stars = kept.join(hubs, "entry").filter("id <> hub").filter(close).groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("common"))
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("common", -F.col("a"))).alias("a"))
     component = None
     if join.verify(best):
-        apart = join.label(join.label(stars, "a", "ca"), "b", "cb").filter("ca <> cb").join(best, ["a", "b"], "left_anti")
-        join.verify(apart)
-        # What an entry holds outside its hub's component has not been compared with each other yet.
-        left, step = shared, 0
-        while True:
-            step += 1
-            named = join.label(join.label(left.select("entry", "id", "n", "hub"), "hub", "ch"), "id", "c").filter("c <> ch")
-            spread = named.withColumn("low", F.min("c").over(entry)).withColumn("high", F.max("c").over(entry)).withColumn("size", F.count("*").over(entry)).filter("low < high")
-            left = scratch.table(spread.withColumn("hub", F.min("id").over(entry)).select("entry", "id", "n", "hub", "c", "size"), f"left-{step}")
-            if left.isEmpty():
-                break
-            few = left.filter(F.col("size") <= FEW)
-            other = few.select("entry", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("c").alias("ch"))
-            pairs = few.drop("hub").join(other, "entry").filter("hub < id")
-            many = left.filter(F.col("size") > FEW)
-            hubs = many.filter("id = hub").select("entry", "hub", F.col("n").alias("hub_n"), F.col("c").alias("ch")).distinct()
-            pairs = pairs.select("hub", "id", "n", "hub_n", "c", "ch").unionByName(many.filter("id <> hub").drop("hub").join(hubs, "entry").select("hub", "id", "n", "hub_n", "c", "ch"))
-            join.verify(pairs.filter(F.col("c") != F.col("ch")).filter(close).select(F.col("hub").alias("a"), F.col("id").alias("b")))
-            left = many
+        # What is in one component needs no comparison; everything else that shares an entry gets one.
+        named = scratch.table(join.label(kept, "id", "c"), "named")
+        other = named.select("entry", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
+        across = named.join(other, "entry").filter((F.col("id") < F.col("b")) & (F.col("c") != F.col("d")) & close)
+        join.verify(across.select(F.col("id").alias("a"), "b"))
         component = join.components
 
     result = indexed.select("id", "n", "s1", "s2").filter("n > 0").join(same, ["s1", "s2"]).select("id", "n", "set_id").unionByName(

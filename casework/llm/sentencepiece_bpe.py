@@ -66,19 +66,46 @@ class PieceEncoder:
         self.scores = {p.piece: p.score for p in proto.pieces if p.type == 1}
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        self.longest = max(map(len, self.ids))
+        #: From every path of the automaton's trie, and from every piece, to the longest piece that begins it (and is shorter than it).
+        self.begin: dict[str, str] = {}
+        self.shorter: dict[str, str] = {}
         for piece in self.ids:
             self.automaton.add_word(piece)
+            best = ""
+            for n in range(1, len(piece) + 1):
+                path = piece[:n]
+                if path in self.ids:
+                    self.shorter[path] = best
+                    best = path
+                self.begin[path] = best
         self.automaton.make_automaton()
-        # No piece has a space mark after another character, so parts begin at each run of marks. Line ends and the like are in no longer piece.
-        longer = [p for p in self.ids if len(p) > 1]
-        if any(META in p.lstrip(META) for p in longer):
-            raise ValueError("a piece reaches across a space")
-        inner = set().union(*longer)
-        alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in inner and chr(c) != " ")
-        self.parts = re.compile(f"{META}*[^{META}{alone}]+|{META}+" + (f"|[{alone}]" if alone else "")).findall
+        self.parts = re.compile(self._parts([p for p in self.ids if len(p) > 1])).findall
         self.compatible = _Bounded(lambda pair: self.merge("".join(pair)) == list(pair), CACHE_PAIRS)
         self.encoded = _Bounded(self._encode_part, CACHE_PARTS)
 
+    def _parts(self, longer: list[str]) -> str:
+        """A pattern of parts that no piece reaches across: a word or a run of punctuation, each with the space marks before it."""
+        if any(META in p.lstrip(META) for p in longer):
+            raise ValueError("a piece reaches across a space")
+        inner, neighbours = set().union(*longer), {(a, b) for p in longer for a, b in zip(p, p[1:])}
+        ascii_ = {chr(c) for c in range(128)} - {" "}
+        alone = ascii_ - inner
+        marks = {c for c in inner if not (c.isalpha() or c.isdecimal())} - {META}
+        while True:  # keep those that no piece joins with anything but each other and spaces
+            kept = {c for c in marks if not any((a == c and b not in marks) or (b == c and a not in marks and a != META) for a, b in neighbours)}
+            if kept == marks:
+                break
+            marks = kept
+        some = lambda chars: "".join(map(re.escape, sorted(chars)))
+        patterns = [f"{META}*[^{META}{some(alone | marks)}]+"]
+        if marks:
+            patterns.append(f"{META}*[{some(marks)}]+")
+        patterns.append(f"{META}+")
+        if alone:
+            patterns.append(f"[{some(alone)}]")
+        return "|".join(patterns)
+
     def merge(self, text: str) -> list[str]:
         """The model's own rule: again and again merge the neighbours whose piece has the best score, the leftmost of equals."""
         symbols, scores = list(text), self.scores
@@ -92,36 +119,32 @@ class PieceEncoder:
                 return symbols
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
+    def _longest(self, part: str, pos: int) -> str:
+        """The longest piece at a position; a character outside the vocabulary stands for itself."""
+        ahead = part[pos : pos + self.longest]
+        return self.begin.get(ahead[: self.automaton.longest_prefix(ahead)]) or ahead[0]
+
     def pieces(self, part: str) -> list[str]:
         """Backtracking over the longest matches."""
-        n = len(part)
-        lengths: list[list[int]] = [[] for _ in range(n)]
-        for end, length in self.automaton.iter(part):
-            lengths[end - length + 1].append(length)
-        for i in range(n):
-            if not lengths[i] or lengths[i][0] != 1:
-                lengths[i].insert(0, 1)  # a character outside the vocabulary
+        n, ids, shorter, compatible = len(part), self.ids, self.shorter, self.compatible
         failed = bytearray(n + 1)
         out: list[str] = []
-        tried: list[int] = []
-        pos, k = 0, len(lengths[0]) - 1
+        pos, piece = 0, self._longest(part, 0)
         while pos < n:
-            while k >= 0:
-                end = pos + lengths[pos][k]
-                if not failed[end]:
-                    piece = part[pos:end]
-                    if self.compatible[(out[-1], piece) if out else (piece,)]:
-                        break
-                k -= 1
-            if k >= 0:
+            while piece:
+                if not failed[pos + len(piece)] and compatible[(out[-1], piece) if out else (piece,)]:
+                    break
+                # a character outside the vocabulary can stand before all longer pieces too
+                piece = shorter.get(piece, "") or (part[pos] if len(piece) > 1 and part[pos] not in ids else "")
+            if piece:
                 out.append(piece)
-                tried.append(k)
-                pos = end
-                k = len(lengths[pos]) - 1 if pos < n else -1
+                pos += len(piece)
+                piece = self._longest(part, pos) if pos < n else ""
             else:
                 failed[pos] = 1
-                pos -= len(out.pop())
-                k = tried.pop() - 1
+                last = out.pop()
+                pos -= len(last)
+                piece = shorter.get(last, "") or (part[pos] if len(last) > 1 and part[pos] not in ids else "")
         return out
 
     def _encode_part(self, part: str) -> tuple[tuple[int, ...], str]:

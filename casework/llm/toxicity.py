@@ -19,9 +19,9 @@ from .common import Scratch
 from .linear import Logistic
 
 #: Labelled rows that the chain is fitted on at most, picked by hash of the id.
-FIT_ROWS = 20_000
+FIT_ROWS = 12_000
 #: Terms per category that become features, and the least number of documents of the sample that have one.
-TERMS = 150
+TERMS = 64
 LEAST_DOCS = 8
 FOLDS = 5
 #: Lengths of the word beginnings that are terms, besides whole words up to 12 letters.
