@@ -8,6 +8,25 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
+def forest_roots(parents: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``node, component`` for every node with a parent: the root of its tree.
+
+    ``parents`` has ``node, parent``, one parent for a node, and no circles. Every round
+    jumps from the parent to what the parent points at, so the rounds are logarithmic in
+    the height and each one reads a row per node.
+    """
+    state, step = scratch.table(parents.select("node", "parent"), f"{name}-0"), 0
+    while True:
+        above = state.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+        jumped = state.join(above, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved"))
+        step += 1
+        found = scratch.table(jumped, f"{name}-{step}")
+        scratch.drop(f"{name}-{step - 1}")
+        if found.filter("moved").isEmpty():
+            return found.select("node", F.col("parent").alias("component"))
+        state = found.select("node", "parent")
+
+
 def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``node, component`` for every node of ``links`` (``a, b``): the smallest node that it can reach.
 

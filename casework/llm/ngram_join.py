@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, bloom_join
-from .components import connected_components
+from .components import connected_components, forest_roots
 from .shingles import mix, shingle_sets
 
 NO_ID = -(1 << 63)
@@ -126,35 +126,22 @@ def _verify(percent: int):
         for batch in batches:
             x, y = batch.column("x"), batch.column("y")
             keep = [similar(x[i].values.to_numpy(), y[i].values.to_numpy()) for i in range(batch.num_rows)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select([c for c in batch.schema.names if c not in "xy"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-class _Join:
-    """The state of one self-join: verified links and the components so far."""
+def _links(scratch: Scratch, name: str, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` (and what else they carry) that are similar, each once."""
+    pairs = scratch.table(pairs.distinct(), name)
+    loaded = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    return loaded.mapInArrow(_verify(percent), ", ".join(f"{c} long" for c in ["b", "a", *pairs.columns[2:]])).distinct()
 
-    def __init__(self, scratch: Scratch, sets: DataFrame, percent: int):
-        self.scratch, self.sets, self.percent, self.rounds = scratch, sets, percent, 0
-        self.components: DataFrame | None = None
 
-    def verify(self, pairs: DataFrame) -> bool:
-        """Compare ``a, b`` and join the components of those that are similar. Says whether there were any pairs."""
-        self.rounds += 1
-        pairs = self.scratch.table(pairs.select("a", "b").distinct(), f"pairs-{self.rounds}")
-        if pairs.isEmpty():
-            return False
-        loaded = pairs.join(self.sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        links = loaded.mapInArrow(_verify(self.percent), "a long, b long")
-        if self.components is not None:
-            links = links.unionByName(self.components.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        self.components = connected_components(links, self.scratch, f"components-{self.rounds}")
-        return True
-
-    def label(self, rows: DataFrame, column: str, name: str) -> DataFrame:
-        """``rows`` with the component of ``column``, which is itself if it has no link."""
-        found = self.components.select(F.col("node").alias(column), F.col("component").alias(name))
-        return rows.join(found, column, "left").withColumn(name, F.coalesce(name, column))
+def _label(rows: DataFrame, components: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with the component of ``column``, which is itself if it has no link."""
+    found = components.select(F.col("node").alias(column), F.col("component").alias(name))
+    return rows.join(found, column, "left").withColumn(name, F.coalesce(name, column))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
@@ -189,28 +176,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         scratch, "sets", rows, scratch.table(kept.select("id").distinct().withColumn("n", F.lit(1)), "candidates").filter("n > 0").select("id"), "id",
         lambda joined: joined.select("id", "text").mapInArrow(_sets(words), "id long, shingles array<long>"),
     )
-    join = _Join(scratch, sets, percent)
-
     close = F.greatest("n", "m") * percent <= F.least("n", "m") * 100
     hubs = kept.groupBy("entry").agg(F.min_by(F.struct("id", "n"), "id").alias("hub"), F.count("*").alias("sets")).filter("sets > 1").select("entry", F.col("hub.id").alias("hub"), F.col("hub.n").alias("m"))
     stars = kept.join(hubs, "entry").filter("id <> hub").filter(close).groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("common"))
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("common", -F.col("a"))).alias("a"))
-    component = None
-    if join.verify(best):
-        # What is in one component needs no comparison; everything else that shares an entry gets one.
-        named = scratch.table(join.label(kept, "id", "c"), "named")
-        other = named.select("entry", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-        across = named.join(other, "entry").filter((F.col("id") < F.col("b")) & (F.col("c") != F.col("d")) & close)
-        join.verify(across.select(F.col("id").alias("a"), "b"))
-        component = join.components
+    to_hubs = _links(scratch, "hub-pairs", best.select("a", "b"), sets, percent)
+    near_hub = forest_roots(to_hubs.select(F.col("b").alias("node"), F.col("a").alias("parent")), scratch, "forest")
+    # What is in one component needs no comparison; everything else that shares an entry gets one. The links between components are then few.
+    named = scratch.table(_label(kept, near_hub, "id", "c"), "named")
+    other = named.select("entry", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
+    across = named.join(other, "entry").filter((F.col("id") < F.col("b")) & (F.col("c") != F.col("d")) & close).select(F.col("id").alias("a"), "b", "c", "d")
+    merged = connected_components(_links(scratch, "other-pairs", across, sets, percent).select(F.col("c").alias("a"), F.col("d").alias("b")), scratch, "merged")
 
     result = indexed.select("id", "n", "s1", "s2").filter("n > 0").join(same, ["s1", "s2"]).select("id", "n", "set_id").unionByName(
         indexed.filter("n = 0").select("id", "n", F.col("id").alias("set_id"))
     )
-    if component is not None:
-        result = join.label(result, "set_id", "component")
-    else:
-        result = result.withColumn("component", F.col("set_id"))
+    result = _label(_label(result, near_hub, "set_id", "c"), merged, "c", "component")
     real = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
     return result.select(real("id").alias(id_col), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
 
