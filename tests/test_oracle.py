@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import pytest
 
-from casework.plans import process, texts
+from casework.plans import packets, process, texts
 
 from .oracle import compare, connect
 
-QUERIES, SQL = {**process.QUERIES, **texts.QUERIES}, {**process.SQL, **texts.SQL}
+QUERIES, SQL = {**process.QUERIES, **texts.QUERIES, **packets.QUERIES}, {**process.SQL, **texts.SQL, **packets.SQL}
 
 
 @pytest.fixture(scope="module")
