@@ -12,6 +12,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters that the contracts call white space, as a Java and RE2 character class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -82,3 +83,19 @@ def bloom_join(scratch: Scratch, name: str, large: DataFrame, small: DataFrame,
     """
     with session_conf(scratch.spark, **BLOOM_CONF):
         return scratch.table(then(large.join(small, key)), name)
+
+
+#: Words of the bitmap in :func:`may_contain`: a table of at most so many rows, 8 MB, is broadcast, whatever the number of keys.
+BITMAP_WORDS = 1 << 19
+
+
+def may_contain(rows: DataFrame, keys: DataFrame, key: str, words: int = BITMAP_WORDS) -> DataFrame:
+    """``rows`` less those whose ``key`` a bitmap of the hashed keys of ``keys`` rules out; others may pass, and the more do the more keys there are.
+
+    For keys that come out of an explode, where Catalyst puts no Bloom filter of its own.
+    """
+    h = F.xxhash64(key)
+    slot, bit = F.pmod(h, F.lit(words)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))
+    bitmap = keys.select(slot.alias("__slot"), bit.alias("__bit")).groupBy("__slot").agg(F.bit_or("__bit").alias("__bits"))
+    marked = rows.withColumn("__slot", slot).join(F.broadcast(bitmap), "__slot")
+    return marked.filter(F.col("__bits").bitwiseAND(bit) != 0).select(*rows.columns)

@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bloom_join
+from .common import Scratch, bloom_join, may_contain
 from .components import connected_components, forest_roots
 from .shingles import mix, shingle_sets
 
 NO_ID = -(1 << 63)
+#: Words of 64 bits in the parity sketch of a set.
+SKETCH_WORDS = 16
 
 
 def band_ends(percent: int, most: int = 1 << 40) -> list[int]:
@@ -108,11 +110,26 @@ def _index(k: int, percent: int):
     return run
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of ``64 * SKETCH_WORDS`` buckets. The sketches of two sets differ in no more bits than the sets in shingles."""
+    bits = 64 * SKETCH_WORDS
+    with np.errstate(over="ignore"):
+        counts = np.bincount((mix(shingles * np.uint64(0xA0761D6478BD642F)) % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sets(k: int):
     def run(batches):
         for batch in batches:
             sets = shingle_sets(batch.column("text"), k)
-            yield pa.record_batch({"id": batch.column("id"), "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
+            yield pa.record_batch(
+                {
+                    "id": batch.column("id"),
+                    "size": pa.array([len(s) for s in sets], pa.int64()),
+                    "sketch": pa.array([sketch(s) for s in sets], pa.list_(pa.int64())),
+                    "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                }
+            )
 
     return run
 
@@ -138,6 +155,14 @@ def _links(scratch: Scratch, name: str, pairs: DataFrame, sets: DataFrame, perce
     return loaded.mapInArrow(_verify(percent), ", ".join(f"{c} long" for c in ["b", "a", *pairs.columns[2:]])).distinct()
 
 
+def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` less those whose sketches differ in more bits than similar sets may in shingles."""
+    side = lambda c, i: sets.select(F.col("id").alias(c), F.col("size").alias(f"size{i}"), F.col("sketch").alias(f"sketch{i}"))
+    differ = F.aggregate(F.zip_with("sketch0", "sketch1", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, b: a + b)
+    found = pairs.join(side("a", 0), "a").join(side("b", 1), "b")
+    return found.filter(differ * (100 + percent) <= (F.col("size0") + F.col("size1")) * (100 - percent)).select(*pairs.columns)
+
+
 def _label(rows: DataFrame, components: DataFrame, column: str, name: str) -> DataFrame:
     """``rows`` with the component of ``column``, which is itself if it has no link."""
     found = components.select(F.col("node").alias(column), F.col("component").alias(name))
@@ -163,18 +188,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Equal sets are one set, under its smallest id.
     same = indexed.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("set_id"))
     first = scratch.table(indexed.filter("n > 0").select("id", "s1", "s2").join(same, ["s1", "s2"]).filter("id = set_id").select("s1", "s2", "id").distinct(), "first")
-    once = full.join(first, ["id", "s1", "s2"], "left_semi").select("id", "n", F.posexplode("groups").alias("side", "g"))
-    places = once.select("id", "n", "side", F.col("g.spare").alias("spare"), F.explode("g.entries").alias("entry"))
-    # Most entries have one set; they are counted where they lie, and a Bloom filter of the others keeps them out of the join.
-    common = scratch.table(places.groupBy("entry").agg(F.count("*").alias("sets"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high"), "common")
-    shared = bloom_join(scratch, "shared", places, common.filter("sets > 1").select("entry", "sets"), "entry", lambda joined: joined)
-    scratch.drop("full", "common")
+    once = scratch.table(full.select("id", "n", "s1", "s2", "groups").join(first, ["id", "s1", "s2"], "left_semi").select("id", "n", "groups"), "once")
+    scratch.drop("full")
+    places = once.select("id", "n", F.posexplode("groups").alias("side", "g")).select("id", "n", "side", F.col("g.spare").alias("spare"), F.explode("g.entries").alias("entry"))
+    # Most entries have one set; they are counted where they lie, and a bitmap of the others keeps them out of the join.
+    common = scratch.table(places.groupBy("entry").agg(F.count("*").alias("sets")).filter("sets > 1"), "common")
+    shared = scratch.table(may_contain(places, common, "entry").join(common, "entry"), "shared")
+    scratch.drop("once", "common")
     dear = F.row_number().over(Window.partitionBy("id", "n", "side").orderBy(F.desc("sets"), F.desc("entry")))
     kept = scratch.table(shared.withColumn("dear", dear).filter("dear > spare").select("entry", "id", "n"), "kept")
 
     sets = bloom_join(
         scratch, "sets", rows, scratch.table(kept.select("id").distinct().withColumn("n", F.lit(1)), "candidates").filter("n > 0").select("id"), "id",
-        lambda joined: joined.select("id", "text").mapInArrow(_sets(words), "id long, shingles array<long>"),
+        lambda joined: joined.select("id", "text").mapInArrow(_sets(words), "id long, size long, sketch array<long>, shingles array<long>"),
     )
     close = F.greatest("n", "m") * percent <= F.least("n", "m") * 100
     hubs = kept.groupBy("entry").agg(F.min_by(F.struct("id", "n"), "id").alias("hub"), F.count("*").alias("sets")).filter("sets > 1").select("entry", F.col("hub.id").alias("hub"), F.col("hub.n").alias("m"))
@@ -186,7 +212,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = scratch.table(_label(kept, near_hub, "id", "c"), "named")
     other = named.select("entry", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
     across = named.join(other, "entry").filter((F.col("id") < F.col("b")) & (F.col("c") != F.col("d")) & close).select(F.col("id").alias("a"), "b", "c", "d")
-    merged = connected_components(_links(scratch, "other-pairs", across, sets, percent).select(F.col("c").alias("a"), F.col("d").alias("b")), scratch, "merged")
+    likely = scratch.table(_plausible(scratch.table(across.distinct(), "across"), sets, percent), "likely")
+    ids = scratch.table(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("n", F.lit(1)), "likely-ids")
+    few = bloom_join(scratch, "likely-sets", sets.select("id", "shingles"), ids.filter("n > 0").select("id"), "id", lambda joined: joined)
+    merged = connected_components(_links(scratch, "other-pairs", likely, few, percent).select(F.col("c").alias("a"), F.col("d").alias("b")), scratch, "merged")
 
     result = indexed.select("id", "n", "s1", "s2").filter("n > 0").join(same, ["s1", "s2"]).select("id", "n", "set_id").unionByName(
         indexed.filter("n = 0").select("id", "n", F.col("id").alias("set_id"))
