@@ -12,6 +12,10 @@ least; it has no entry and counts as one of the ``S``. A set with more empty seg
 that leaves out nothing, and indexes the segment after each empty one with its
 one-deletion neighbourhood: what the pigeonhole loses by the empty one it gains there.
 
+An entry that many sets still share, such as a piece of a common passage, makes no pairs.
+Its sets are indexed again among themselves with four segments to a shingle, where so
+many entries are spare that those of the passage are left out and only rare ones stay.
+
 Sets that share an index entry are candidates. First each set is compared with one hub of
 its entries, the set that it has most in common with; after that only candidates in
 different components of links. Candidates are verified on their whole sets of 64-bit
@@ -30,6 +34,8 @@ from .components import connected_components, forest_roots
 from .shingles import mix, shingle_sets
 
 NO_ID = -(1 << 63)
+#: Sets of an entry from which on its sets get the finer index.
+HOT_SETS = 100
 #: Words of 64 bits in the parity sketch of a set.
 SKETCH_WORDS = 16
 
@@ -47,14 +53,14 @@ def budget(end: int, percent: int) -> int:
     return (end + end * 100 // percent) * (100 - percent) // (100 + percent)
 
 
-def segments(end: int, percent: int) -> tuple[int, int]:
-    """Segments of a band and how many dear entries a set may leave out; segments keep four shingles each or as many as the budget allows."""
+def segments(end: int, percent: int, fine: bool = False) -> tuple[int, int]:
+    """Segments of a band and how many dear entries a set may leave out; segments keep four shingles each or as many as the budget allows; in the finer index most segments have one or none."""
     h = budget(end, percent)
-    m = max(h + 1, min(h + 1 + h // 2, end // 4))
+    m = max(h + 1, 4 * end if fine else min(h + 1 + h // 2, end // 4))
     return m, m - h - 1
 
 
-def entries(shingles: np.ndarray, percent: int, ends: list[int]) -> list[tuple[np.ndarray, int]]:
+def entries(shingles: np.ndarray, percent: int, ends: list[int], fine: bool = False) -> list[tuple[np.ndarray, int]]:
     """Index entries of one set, in the group of its own band and in that of the band below, each with the number of them that may be left out."""
     n = len(shingles)
     out = []
@@ -66,7 +72,7 @@ def entries(shingles: np.ndarray, percent: int, ends: list[int]) -> list[tuple[n
         for group in (band, band - 1):
             if group < 0 or not budget(ends[group], percent):
                 continue  # only equal sets are similar there, and they are one set here
-            m, spare = segments(ends[group], percent)
+            m, spare = segments(ends[group], percent, fine)
             segment = (mix(shingles + np.uint64(group)) % np.uint64(m)).astype(np.int64)
             sums = np.zeros(m, np.uint64)
             np.add.at(sums, segment, spread)
@@ -84,11 +90,35 @@ def entries(shingles: np.ndarray, percent: int, ends: list[int]) -> list[tuple[n
 
 
 ENTRY = "array<struct<spare:int,entries:array<bigint>>>"
+ENTRY_KIND = pa.list_(pa.struct([("spare", pa.int32()), ("entries", pa.list_(pa.int64()))]))
+
+
+def _fine_index(percent: int):
+    ends = band_ends(percent)
+
+    def run(batches):
+        for batch in batches:
+            sets = [s.values.to_numpy().view(np.uint64) for s in batch.column("shingles")]
+            groups = [[{"spare": spare, "entries": e.view(np.int64)} for e, spare in entries(s, percent, ends, fine=True)] for s in sets]
+            yield pa.record_batch({"id": batch.column("id"), "n": pa.array([len(s) for s in sets], pa.int64()), "groups": pa.array(groups, ENTRY_KIND)})
+
+    return run
+
+
+def _allocate(scratch: Scratch, name: str, indexed: DataFrame) -> DataFrame:
+    """``entry, id, n``: the entries of ``indexed`` (a table ``id, n, groups``) that sets share, less the dearest of each set as far as it can spare them."""
+    places = indexed.select("id", "n", F.posexplode("groups").alias("side", "g")).select("id", "n", "side", F.col("g.spare").alias("spare"), F.explode("g.entries").alias("entry"))
+    # Most entries have one set; they are counted where they lie, and a bitmap of the others keeps them out of the join.
+    common = scratch.table(places.groupBy("entry").agg(F.count("*").alias("sets")).filter("sets > 1"), f"{name}-common")
+    shared = scratch.table(may_contain(places, common, "entry").join(common, "entry"), f"{name}-shared")
+    dear = F.row_number().over(Window.partitionBy("id", "n", "side").orderBy(F.desc("sets"), F.desc("entry")))
+    kept = scratch.table(shared.withColumn("dear", dear).filter("dear > spare").select("entry", "id", "n"), f"{name}-kept")
+    scratch.drop(f"{name}-common", f"{name}-shared")
+    return kept
 
 
 def _index(k: int, percent: int):
     ends = band_ends(percent)
-    kind = pa.list_(pa.struct([("spare", pa.int32()), ("entries", pa.list_(pa.int64()))]))
 
     def run(batches):
         for batch in batches:
@@ -103,7 +133,7 @@ def _index(k: int, percent: int):
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "s1": pa.array(np.array(first, np.uint64).view(np.int64)),
                     "s2": pa.array(np.array(second, np.uint64).view(np.int64)),
-                    "groups": pa.array(groups, kind),
+                    "groups": pa.array(groups, ENTRY_KIND),
                 }
             )
 
@@ -190,18 +220,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = scratch.table(indexed.filter("n > 0").select("id", "s1", "s2").join(same, ["s1", "s2"]).filter("id = set_id").select("s1", "s2", "id").distinct(), "first")
     once = scratch.table(full.select("id", "n", "s1", "s2", "groups").join(first, ["id", "s1", "s2"], "left_semi").select("id", "n", "groups"), "once")
     scratch.drop("full")
-    places = once.select("id", "n", F.posexplode("groups").alias("side", "g")).select("id", "n", "side", F.col("g.spare").alias("spare"), F.explode("g.entries").alias("entry"))
-    # Most entries have one set; they are counted where they lie, and a bitmap of the others keeps them out of the join.
-    common = scratch.table(places.groupBy("entry").agg(F.count("*").alias("sets")).filter("sets > 1"), "common")
-    shared = scratch.table(may_contain(places, common, "entry").join(common, "entry"), "shared")
-    scratch.drop("once", "common")
-    dear = F.row_number().over(Window.partitionBy("id", "n", "side").orderBy(F.desc("sets"), F.desc("entry")))
-    kept = scratch.table(shared.withColumn("dear", dear).filter("dear > spare").select("entry", "id", "n"), "kept")
+    kept = _allocate(scratch, "coarse", once)
+    scratch.drop("once")
 
     sets = bloom_join(
         scratch, "sets", rows, scratch.table(kept.select("id").distinct().withColumn("n", F.lit(1)), "candidates").filter("n > 0").select("id"), "id",
         lambda joined: joined.select("id", "text").mapInArrow(_sets(words), "id long, size long, sketch array<long>, shingles array<long>"),
     )
+    # Pairs under a hot entry are pairs of the finer index, so the hot entries can go.
+    hot = scratch.table(kept.groupBy("entry").agg(F.count("*").alias("sets")).filter(F.col("sets") >= HOT_SETS), "hot")
+    in_hot = scratch.table(kept.join(hot, "entry").select("id").distinct().withColumn("n", F.lit(1)), "in-hot")
+    again = bloom_join(
+        scratch, "fine", sets.select("id", "shingles"), in_hot.filter("n > 0").select("id"), "id",
+        lambda joined: joined.select("id", "shingles").mapInArrow(_fine_index(percent), f"id long, n long, groups {ENTRY}"),
+    )
+    kept = scratch.table(kept.join(hot.select("entry"), "entry", "left_anti").unionByName(_allocate(scratch, "fine", again)), "kept")
+
     close = F.greatest("n", "m") * percent <= F.least("n", "m") * 100
     hubs = kept.groupBy("entry").agg(F.min_by(F.struct("id", "n"), "id").alias("hub"), F.count("*").alias("sets")).filter("sets > 1").select("entry", F.col("hub.id").alias("hub"), F.col("hub.n").alias("m"))
     stars = kept.join(hubs, "entry").filter("id <> hub").filter(close).groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("common"))

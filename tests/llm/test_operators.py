@@ -328,14 +328,16 @@ def mutants(rnd, n_families=12, copies=12):
 
 
 @pytest.mark.parametrize("words,percent", [(3, 90), (5, 80), (1, 60), (2, 95)])
-def test_components_equal_brute_force(spark, words, percent):
+def test_components_equal_brute_force(spark, monkeypatch, words, percent):
+    monkeypatch.setattr(ngram_join, "HOT_SETS", 5 if words < 5 else 100)  # most families go through the finer index, or none does
     rows = mutants(random.Random(percent))
     got = ngram_join.jaccard_components(make(spark, *rows), words=words, percent=percent)
     assert {tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()} == brute_components(rows, words, percent)
 
 
+@pytest.mark.parametrize("fine", [False, True])
 @pytest.mark.parametrize("percent", [60, 80, 90])
-def test_similar_sets_always_share_an_entry(percent):
+def test_similar_sets_always_share_an_entry(percent, fine):
     rnd = np.random.default_rng(percent)
     ends = ngram_join.band_ends(percent)
     for _ in range(3000):
@@ -345,12 +347,32 @@ def test_similar_sets_always_share_an_entry(percent):
         b = np.unique(np.concatenate([keep, rnd.integers(0, 1 << 63, int(rnd.integers(0, 6)), dtype=np.uint64)]))
         common = len(np.intersect1d(a, b))
         if len(b) and not np.array_equal(a, b) and 100 * common >= percent * (len(a) + len(b) - common):
-            groups = [ngram_join.entries(x, percent, ends) for x in (a, b)]
+            groups = [ngram_join.entries(x, percent, ends, fine) for x in (a, b)]
             # however dear the entries are: leave out as many of the common ones as each set may
             shared = [np.intersect1d(x, y).size - min(i, j) for x, i in groups[0] for y, j in groups[1] if np.intersect1d(x, y).size]
             assert max(shared, default=0) > 0
 
 
+def test_sketches_never_differ_more_than_the_sets():
+    rnd = np.random.default_rng(3)
+    for _ in range(300):
+        a, b = (rnd.integers(0, 400, rnd.integers(1, 300)).astype(np.uint64) for _ in range(2))
+        a, b = np.unique(a), np.unique(b)
+        differ = sum(int(x).bit_count() for x in (ngram_join.sketch(a) ^ ngram_join.sketch(b)).view(np.uint64))
+        assert differ <= len(np.setxor1d(a, b))
+
+
+def test_a_common_passage_makes_few_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_SETS", 3)  # entries of fewer sets make a bounded number of pairs each
+    rnd = random.Random(5)
+    words = lambda n: [("".join(rnd.choice("abcdefgh") for _ in range(6))) for _ in range(n)]
+    passage, seen = words(30), []
+    monkeypatch.setattr(ngram_join, "_plausible", lambda pairs, *a, f=ngram_join._plausible: seen.append(pairs.count()) or f(pairs, *a))
+    rows = [(i, " ".join(words(9) + passage + words(9))) for i in range(120)]
+    got = ngram_join.jaccard_components(make(spark, *rows), words=5, percent=80).collect()
+    assert all(r.doc_id == r.component_id for r in got) and seen[0] < 120
+
+
 def test_components_of_odd_tables(spark):
     assert ngram_join.jaccard_components(make(spark, (1, "x")).limit(0)).count() == 0
     text = " ".join(map(str, range(50)))
