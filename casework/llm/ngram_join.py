@@ -185,12 +185,16 @@ def _links(scratch: Scratch, name: str, pairs: DataFrame, sets: DataFrame, perce
     return loaded.mapInArrow(_verify(percent), ", ".join(f"{c} long" for c in ["b", "a", *pairs.columns[2:]])).distinct()
 
 
-def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` less those whose sketches differ in more bits than similar sets may in shingles."""
-    side = lambda c, i: sets.select(F.col("id").alias(c), F.col("size").alias(f"size{i}"), F.col("sketch").alias(f"sketch{i}"))
-    differ = F.aggregate(F.zip_with("sketch0", "sketch1", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, b: a + b)
-    found = pairs.join(side("a", 0), "a").join(side("b", 1), "b")
-    return found.filter(differ * (100 + percent) <= (F.col("size0") + F.col("size1")) * (100 - percent)).select(*pairs.columns)
+def _likely_pairs(scratch: Scratch, named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of sets that share an entry of ``named`` and lie in different components ``c, d``, less those whose sketches differ in more bits than similar sets may in shingles. The join itself compares the sketches, so the others are no rows at any time."""
+    words = [f"w{i}" for i in range(SKETCH_WORDS)]
+    mixed = named.groupBy("entry").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("entry")
+    drawn = sets.select("id", "size", *(F.col("sketch")[i].alias(w) for i, w in enumerate(words)))
+    own = scratch.table(named.select("entry", "id", "c").join(mixed, "entry").join(drawn, "id").select("entry", "id", "c", "size", *words), "open")
+    other = own.select("entry", F.col("id").alias("b"), F.col("c").alias("d"), F.col("size").alias("other"), *(F.col(w).alias(f"v{w}") for w in words))
+    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"v{w}"))) for w in words), F.lit(0))
+    close = differ * (100 + percent) <= (F.col("size") + F.col("other")) * (100 - percent)
+    return own.join(other, "entry").filter((F.col("id") < F.col("b")) & (F.col("c") != F.col("d")) & close).select(F.col("id").alias("a"), "b", "c", "d").distinct()
 
 
 def _label(rows: DataFrame, components: DataFrame, column: str, name: str) -> DataFrame:
@@ -242,11 +246,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("common", -F.col("a"))).alias("a"))
     to_hubs = _links(scratch, "hub-pairs", best.select("a", "b"), sets, percent)
     near_hub = forest_roots(to_hubs.select(F.col("b").alias("node"), F.col("a").alias("parent")), scratch, "forest")
-    # What is in one component needs no comparison; everything else that shares an entry gets one. The links between components are then few.
+    # What is in one component needs no comparison; everything else that shares an entry and has a sketch near enough gets one. The links between components are then few.
     named = scratch.table(_label(kept, near_hub, "id", "c"), "named")
-    other = named.select("entry", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-    across = named.join(other, "entry").filter((F.col("id") < F.col("b")) & (F.col("c") != F.col("d")) & close).select(F.col("id").alias("a"), "b", "c", "d")
-    likely = scratch.table(_plausible(scratch.table(across.distinct(), "across"), sets, percent), "likely")
+    likely = scratch.table(_likely_pairs(scratch, named, sets, percent), "likely")
     ids = scratch.table(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("n", F.lit(1)), "likely-ids")
     few = bloom_join(scratch, "likely-sets", sets.select("id", "shingles"), ids.filter("n > 0").select("id"), "id", lambda joined: joined)
     merged = connected_components(_links(scratch, "other-pairs", likely, few, percent).select(F.col("c").alias("a"), F.col("d").alias("b")), scratch, "merged")
