@@ -214,6 +214,25 @@ def test_a_passage_in_many_documents_makes_few_rows(spark):
     assert {r.doc_id for r in got} | {r.other_id for r in got} == set(range(60)) and len(got) <= 120
 
 
+def _words(rnd, n):
+    return ["".join(rnd.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+
+
+def _pairs(got):
+    """Passages with the smaller id first; a pair that is each other's hub has two rows."""
+    return {(r.doc_id, r.first_word, r.end_word, r.other_id, r.other_first_word, r.other_end_word, r.edits) if r.doc_id < r.other_id else (r.other_id, r.other_first_word, r.other_end_word, r.doc_id, r.first_word, r.end_word, r.edits) for r in got}
+
+
+def test_two_passages_with_own_text_between_are_both_found(spark):
+    rnd = random.Random(14)
+    rows, want = [], set()
+    for i, between in enumerate([40, 60, 100, 150, 200, 300] * 5):
+        a, b = _words(rnd, 60), _words(rnd, 60)
+        rows += [(2 * i + j, " ".join(_words(rnd, 5) + a + _words(rnd, between) + b + _words(rnd, 5))) for j in (0, 1)]
+        want |= {(2 * i, 5, 65, 2 * i + 1, 5, 65, 0), (2 * i, 65 + between, 125 + between, 2 * i + 1, 65 + between, 125 + between, 0)}
+    assert _pairs(chaining.repeated_passages(make(spark, *rows)).collect()) == want
+
+
 # 7 -------------------------------------------------------------------------------------------------
 def test_rice_codes_round_trip():
     rnd = np.random.default_rng(1)
