@@ -233,6 +233,16 @@ def test_two_passages_with_own_text_between_are_both_found(spark):
     assert _pairs(chaining.repeated_passages(make(spark, *rows)).collect()) == want
 
 
+def test_a_part_quoted_early_does_not_hide_the_passage(spark):
+    rnd = random.Random(15)
+    rows, want = [], set()
+    for i, between in enumerate([20, 60, 100] * 10):
+        passage = _words(rnd, 60)
+        rows += [(2 * i, " ".join(_words(rnd, 9) + passage + _words(rnd, 9))), (2 * i + 1, " ".join(passage[:40] + _words(rnd, between) + passage))]
+        want.add((2 * i, 9, 69, 2 * i + 1, 40 + between, 100 + between, 0))
+    assert _pairs(chaining.repeated_passages(make(spark, *rows)).collect()) == want
+
+
 # 7 -------------------------------------------------------------------------------------------------
 def test_rice_codes_round_trip():
     rnd = np.random.default_rng(1)
