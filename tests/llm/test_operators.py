@@ -243,6 +243,19 @@ def test_a_part_quoted_early_does_not_hide_the_passage(spark):
     assert _pairs(chaining.repeated_passages(make(spark, *rows)).collect()) == want
 
 
+def test_documents_with_pieces_do_not_come_between_two_with_the_whole_passage(spark):
+    rnd = random.Random(16)
+    rows, want = [], set()
+    for i in range(10):
+        passage = _words(rnd, 60 if i else 50)
+        for j in range(50):
+            at = rnd.randint(0, len(passage) - 35)
+            rows.append((100 * i + j, " ".join(_words(rnd, 9) + passage[at : at + 35] + _words(rnd, 9))))
+        rows += [(100 * i + j, " ".join(_words(rnd, j) + passage + _words(rnd, 9))) for j in (98, 99)]
+        want.add((100 * i + 98, 98, 98 + len(passage), 100 * i + 99, 99, 99 + len(passage), 0))
+    assert _pairs(chaining.repeated_passages(make(spark, *rows)).collect()) >= want
+
+
 # 7 -------------------------------------------------------------------------------------------------
 def test_rice_codes_round_trip():
     rnd = np.random.default_rng(1)
