@@ -93,7 +93,16 @@ class LineRuns:
             self._add(level + 1, self._run(self._merge(runs).repartition(self.buckets, "hash")))
 
     def _merge(self, runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, runs).groupBy("hash").agg(F.sum("docs").alias("docs"))
+        """Runs joined two by two as they are sorted; every key is in one row of each, so in one row of the result.
+
+        Not a union: Spark takes a union of bucketed scans for dealt by ``hash`` and would not bring the rows of a key together.
+        """
+
+        def merge(left: DataFrame, right: DataFrame) -> DataFrame:
+            both = left.join(right.withColumnRenamed("docs", "more").hint("merge"), "hash", "full")
+            return both.select("hash", (F.coalesce("docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("docs"))
+
+        return reduce(merge, runs)
 
     def common(self) -> DataFrame:
         """Keys in at least ``threshold`` documents."""
@@ -130,11 +139,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     buckets = max(8, min(8192, (hashed.agg(F.sum("n_lines")).first()[0] or 0) // BUCKET_ROWS))
     runs = LineRuns(scratch, threshold, buckets, fanout)
-    for i in range(batches):
-        lines = hashed.filter(F.col("batch") == i).select(F.coalesce("id", F.lit(-(1 << 63))).alias("doc"), F.explode("hashes").alias("hash"))
-        runs.append(lines.filter("hash IS NOT NULL"))
-    common = scratch.table(runs.common(), "common")
-    runs.close()
+    try:
+        for i in range(batches):
+            lines = hashed.filter(F.col("batch") == i).select(F.coalesce("id", F.lit(-(1 << 63))).alias("doc"), F.explode("hashes").alias("hash"))
+            runs.append(lines.filter("hash IS NOT NULL"))
+        common = scratch.table(runs.common(), "common")
+    finally:
+        runs.close()
 
     places = hashed.select("key", F.posexplode("hashes").alias("pos", "hash")).filter("hash IS NOT NULL")
     dropped = scratch.table(

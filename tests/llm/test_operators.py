@@ -294,7 +294,7 @@ def brute_lines(rows, threshold):
     return out
 
 
-@pytest.mark.parametrize("batches,fanout", [(1, 2), (4, 2), (5, 3)])
+@pytest.mark.parametrize("batches,fanout", [(1, 2), (3, 2), (5, 3), (7, 2), (7, 4)])
 def test_line_dedup(spark, batches, fanout):
     rnd = random.Random(13)
     pool = ["The  licence", " the  licence\t", "É x", "é x", "", " ", "once", "\x0b tab"] + [f"line {i}" for i in range(30)]
