@@ -7,10 +7,15 @@ costs a re-read, never a recomputation of the whole lineage.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +56,32 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Bytes of text that a Python task works on at once.
+SLICE_BYTES = 2 << 20
+
+
+def slices(batches, column: str = "text", most: int = SLICE_BYTES):
+    """Arrow batches cut, without a copy, so that ``column`` has about ``most`` bytes in each; a row is never cut."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        number = np.cumsum(sizes, dtype=np.int64) // most
+        starts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(starts, starts[1:]):
+            yield batch.slice(a, b - a)
+
+
+def release() -> None:
+    """Give freed memory back to the system: a Python worker outlives its tasks, and other stages need the room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 #: Lets Catalyst put a Bloom filter of the smaller side before the shuffle of a join's larger side, at any size. Its bits are bounded (1 MB by
 #: default). Broadcasts are off so that small and large inputs get one plan.
 BLOOM_CONF = {

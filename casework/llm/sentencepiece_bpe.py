@@ -2,42 +2,46 @@
 
 A sequence of pieces is the encoding of a text exactly when every two neighbours, taken
 alone, are merged into the same two pieces: merges within two neighbours happen in the
-same order there as in the whole text. So the encoder goes from left to right, takes the
-longest piece that matches (an Aho-Corasick automaton finds all matches in one pass),
-accepts it only if it is compatible with the piece before it, and steps back where none
-is; a bitfield remembers positions from which no way leads on, so every position fails
-once at most. Compatibility is tested by merging the two pieces' characters again.
+same order there as in the whole text. One pass of an Aho-Corasick automaton finds all matches
+and so the longest piece at every position. The encoder goes from left to right, takes the
+longest piece, accepts it only if it is compatible with the piece before it, and steps back
+where none is; a bitfield remembers positions from which no way leads on, so every position
+fails once at most. Compatibility is tested by merging the two pieces' characters again.
 
 Texts are first cut where no piece can reach across, for example before every space. The
-parts repeat, so workers keep the results of a bounded number of them.
+parts repeat, so a task keeps the results of a bounded number of them. The encoder is built
+anew for each task (half a second) and goes with it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import sys
-import types
 from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries that a worker keeps of parts and of pairs; beyond them it begins anew.
-CACHE_PARTS = 300_000
-CACHE_PAIRS = 500_000
+from .common import release, slices
+
+#: Entries that a task keeps of parts and of pairs, some 130 MB together; beyond them it begins anew. Longer parts are not kept.
+CACHE_PARTS = 250_000
+CACHE_PAIRS = 250_000
+CACHE_CHARS = 40
 META = "▁"  # stands for a space
 
 
 class _Bounded(dict):
-    """A dictionary that computes what it lacks and holds a bounded number of entries."""
+    """A dictionary that computes what it lacks and holds a bounded number of entries, of bounded keys where ``chars`` is given."""
 
-    def __init__(self, make, most: int):
-        self.make, self.most = make, most
+    def __init__(self, make, most: int, chars: int | None = None):
+        self.make, self.most, self.chars = make, most, chars
 
     def __missing__(self, key):
         value = self.make(key)
+        if self.chars and len(key) > self.chars:
+            return value
         if len(self) >= self.most:
             self.clear()
         self[key] = value
@@ -66,23 +70,15 @@ class PieceEncoder:
         self.scores = {p.piece: p.score for p in proto.pieces if p.type == 1}
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        self.longest = max(map(len, self.ids))
-        #: From every path of the automaton's trie, and from every piece, to the longest piece that begins it (and is shorter than it).
-        self.begin: dict[str, str] = {}
+        #: From every piece to the longest shorter piece that begins it.
         self.shorter: dict[str, str] = {}
         for piece in self.ids:
             self.automaton.add_word(piece)
-            best = ""
-            for n in range(1, len(piece) + 1):
-                path = piece[:n]
-                if path in self.ids:
-                    self.shorter[path] = best
-                    best = path
-                self.begin[path] = best
+            self.shorter[piece] = next((piece[:n] for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.ids), "")
         self.automaton.make_automaton()
         self.parts = re.compile(self._parts([p for p in self.ids if len(p) > 1])).findall
         self.compatible = _Bounded(lambda pair: self.merge("".join(pair)) == list(pair), CACHE_PAIRS)
-        self.encoded = _Bounded(self._encode_part, CACHE_PARTS)
+        self.encoded = _Bounded(self._encode_part, CACHE_PARTS, CACHE_CHARS)
 
     def _parts(self, longer: list[str]) -> str:
         """A pattern of parts that no piece reaches across: a word or a run of punctuation, each with the space marks before it."""
@@ -119,29 +115,33 @@ class PieceEncoder:
                 return symbols
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
-    def _longest(self, part: str, pos: int) -> str:
-        """The longest piece at a position; a character outside the vocabulary stands for itself."""
-        ahead = part[pos : pos + self.longest]
-        return self.begin.get(ahead[: self.automaton.longest_prefix(ahead)]) or ahead[0]
+    def _longest(self, part: str) -> list[int]:
+        """For every position the length of the longest piece that begins there; a character outside the vocabulary stands for itself."""
+        longest = [1] * len(part)
+        for end, length in self.automaton.iter(part):
+            if length > longest[end + 1 - length]:
+                longest[end + 1 - length] = length
+        return longest
 
     def pieces(self, part: str) -> list[str]:
         """Backtracking over the longest matches."""
-        n, ids, shorter, compatible = len(part), self.ids, self.shorter, self.compatible
-        failed = bytearray(n + 1)
+        n, ids, shorter, compatible, longest = len(part), self.ids, self.shorter, self.compatible, self._longest(part)
+        failed = bytearray(n // 8 + 1)  # a bit for each position
         out: list[str] = []
-        pos, piece = 0, self._longest(part, 0)
+        pos, piece = 0, part[: longest[0]]
         while pos < n:
             while piece:
-                if not failed[pos + len(piece)] and compatible[(out[-1], piece) if out else (piece,)]:
+                end = pos + len(piece)
+                if not failed[end >> 3] >> (end & 7) & 1 and compatible[(out[-1], piece) if out else (piece,)]:
                     break
                 # a character outside the vocabulary can stand before all longer pieces too
                 piece = shorter.get(piece, "") or (part[pos] if len(piece) > 1 and part[pos] not in ids else "")
             if piece:
                 out.append(piece)
-                pos += len(piece)
-                piece = self._longest(part, pos) if pos < n else ""
+                pos = end
+                piece = part[pos : pos + longest[pos]] if pos < n else ""
             else:
-                failed[pos] = 1
+                failed[pos >> 3] |= 1 << (pos & 7)
                 last = out.pop()
                 pos -= len(last)
                 piece = shorter.get(last, "") or (part[pos] if len(last) > 1 and part[pos] not in ids else "")
@@ -166,14 +166,6 @@ class PieceEncoder:
         return list(chain.from_iterable([ids for ids, _ in found])), ",".join([text for _, text in found])
 
 
-def worker_encoder(model: str) -> PieceEncoder:
-    """The encoder of this Python worker, which outlives a task."""
-    state = sys.modules.setdefault("casework_worker_state", types.ModuleType("casework_worker_state"))
-    if getattr(state, "encoder", (None,))[0] != model:
-        state.encoder = model, PieceEncoder(model)
-    return state.encoder[1]
-
-
 #: What :func:`tokenize` can return, and the types.
 OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
 _ARROW = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "ids_sha256": pa.string(), "decoded": pa.string(), "decoded_sha256": pa.string()}
@@ -181,19 +173,18 @@ _ARROW = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "ids_sha256": pa.
 
 def _tokenizer(model: str, outputs: tuple[str, ...]):
     def run(batches):
-        encoder = worker_encoder(model)
+        encoder = PieceEncoder(model)
         decode = encoder.library.decode
-        for batch in batches:
-            texts = batch.column("text")
+        for batch in slices(batches):
             values = {name: [] for name in outputs}
-            for text in texts:
+            for text in batch.column("text"):
                 ids, joined = encoder.encode(text.as_py())
                 decoded = decode(ids) if "decoded" in values or "decoded_sha256" in values else None
                 for name, add in values.items():
                     if name == "n_tokens":
                         add.append(len(ids))
                     elif name == "ids":
-                        add.append(ids)
+                        add.append(pa.array(ids, pa.int32()))
                     elif name == "ids_sha256":
                         add.append(hashlib.sha256(joined.encode()).hexdigest())
                     elif name == "decoded":
@@ -202,6 +193,8 @@ def _tokenizer(model: str, outputs: tuple[str, ...]):
                         add.append(hashlib.sha256(decoded.encode()).hexdigest())
             kept = {c: batch.column(c) for c in batch.schema.names if c != "text"}
             yield pa.record_batch(kept | {name: pa.array(v, _ARROW[name]) for name, v in values.items()})
+        del encoder, decode
+        release()
 
     return run
 
