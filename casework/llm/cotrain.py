@@ -1,29 +1,31 @@
 """Quality classifier by co-training on two views of a page.
 
 One model sees the text (which bytes it has, how words repeat), the other only what
-surrounds it (source, language, length and line layout). In every round each model labels
-the pool rows of which it is most sure, and the other one learns from those labels. In the
-end both are calibrated on labelled rows that neither has seen, and a third small model
+surrounds it (source, language, length and line layout). In every round both models score
+all rows without a label of the fit, each model labels those of which it is most sure, and
+the other one learns from these labels. In the end both are calibrated on labelled rows that neither has seen, and a third small model
 combines the two views into the score of a document.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, release, slices
 from .linear import Logistic, calibrated
 
-#: Labelled and unlabelled rows that the models are fitted on at most, picked by hash of the id.
+#: Labelled rows that the models are fitted on at most, picked by hash of the id.
 FIT_ROWS = 12_000
-POOL_ROWS = 12_000
 ROUNDS = 4
-#: Rows that a model labels per round at most, and how sure it has to be.
+#: Rows that a model labels per round at most, of all rows those of which it is surest, and how sure it has to be.
 PER_ROUND = 1_000
 SURE = 0.97
 SOURCE_BUCKETS, LANG_BUCKETS = 32, 8
@@ -59,11 +61,43 @@ def _views(batch) -> tuple[np.ndarray, np.ndarray]:
     return np.array(texts).reshape(len(texts), -1), np.array(metas).reshape(len(metas), -1)
 
 
+#: Numbers of the two views.
+WIDTHS = len(text_features("", b"")), len(meta_features("", "", 0, 0, 1))
+
+
 def _featurize(batches):
-    for batch in batches:
-        if batch.num_rows:
-            a, b = _views(batch)
-            yield pa.record_batch({"id": batch.column("id"), "a": pa.array(list(a), pa.list_(pa.float32())), "b": pa.array(list(b), pa.list_(pa.float32()))})
+    """Both views of a row as one string of 32-bit floats, and a key that tells rows apart by what the models see of them."""
+    for batch in slices(batches):
+        both = np.hstack(_views(batch)).astype(np.float32)
+        data = [x.tobytes() for x in both]
+        keys = [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in data]
+        yield pa.record_batch({"id": batch.column("id"), "key": pa.array(keys, pa.int64()), "x": pa.array(data, pa.binary())})
+
+
+def _split(column) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, sum(WIDTHS))
+    return x[:, : WIDTHS[0]], x[:, WIDTHS[0] :]
+
+
+def _proposer(models: list[Logistic], given: list[np.ndarray], most: list[int], sure: float):
+    """What each model would teach the other: of every task the surest rows for each label, ``most`` of a label at most."""
+
+    def run(batches):
+        best = {(v, label): (np.zeros(0, np.int64), np.zeros(0)) for v in (0, 1) for label in (0, 1)}
+        for batch in slices(batches, "x"):
+            keys = batch.column("key").to_numpy()
+            for v, x in enumerate(_split(batch.column("x"))):
+                p, free = models[v].predict(x), ~np.isin(keys, given[1 - v])
+                for label, q in ((0, 1 - p), (1, p)):
+                    ok = free & (q >= sure)
+                    k, q = np.concatenate([best[v, label][0], keys[ok]]), np.concatenate([best[v, label][1], q[ok]])
+                    k, first = np.unique(k, return_index=True)
+                    order = np.argsort(-q[first], kind="stable")[: most[label]]
+                    best[v, label] = k[order], q[first][order]
+        for (v, label), (k, q) in best.items():
+            yield pa.record_batch({"view": pa.array([v] * len(k), pa.int32()), "label": pa.array([label] * len(k), pa.int32()), "key": pa.array(k, pa.int64()), "sure": pa.array(q, pa.float64())})
+
+    return run
 
 
 class CoTrained:
@@ -73,35 +107,26 @@ class CoTrained:
         self.rounds, self.per_round, self.sure = rounds, per_round, sure
         self.pseudo: list[tuple[int, int]] = []
 
-    def fit(self, a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, pool_b: np.ndarray) -> CoTrained:
+    def fit(self, a: np.ndarray, b: np.ndarray, y: np.ndarray, propose) -> CoTrained:
+        """``propose(models, given, most, sure)`` returns ``(view, label, key, a, b)``: what each model labels in a round, with the features of both views."""
         held = np.arange(len(y)) % 5 == 4  # calibration rows; the order is that of hashed ids
-        views, pools, y_fit = (a[~held], b[~held]), (pool_a, pool_b), y[~held]
+        views, y_fit = (a[~held], b[~held]), y[~held]
         share = float(y_fit.mean()) if len(y_fit) else 0.5
-        gained = [(np.zeros(0, int), np.zeros(0)) for _ in views]  # pool rows and labels each model has got from the other
-        free = [np.ones(len(pool_a), bool) for _ in views]
+        gained = [(views[v][:0], np.zeros(0)) for v in (0, 1)]  # rows and labels each model has got from the other
+        given = [np.zeros(0, np.int64) for _ in views]
 
         def refit(v):
-            rows, labels = gained[v]
-            return Logistic().fit(np.vstack([views[v], pools[v][rows]]), np.concatenate([y_fit, labels]))
+            return Logistic().fit(np.vstack([views[v], gained[v][0]]), np.concatenate([y_fit, gained[v][1]]))
 
         models = [refit(0), refit(1)]
-        for _ in range(self.rounds if len(pool_a) and 0 < share < 1 else 0):
-            news = []
-            for v, model in enumerate(models):
-                p, other = model.predict(pools[v]), 1 - v
-                wanted = ((1, p, max(1, int(self.per_round * share))), (0, 1 - p, max(1, int(self.per_round * (1 - share)))))
-                rows, labels = [], []
-                for label, q, most in wanted:
-                    sure = np.flatnonzero((q >= self.sure) & free[other])
-                    sure = sure[np.argsort(-q[sure], kind="stable")][:most]
-                    rows.append(sure)
-                    labels.append(np.full(len(sure), float(label)))
-                news.append((np.concatenate(rows), np.concatenate(labels)))
-            for v, (rows, labels) in enumerate(news):
-                other = 1 - v
-                free[other][rows] = False
-                gained[other] = np.concatenate([gained[other][0], rows]), np.concatenate([gained[other][1], labels])
-            self.pseudo.append((len(news[0][0]), len(news[1][0])))
+        most = [max(1, int(self.per_round * (1 - share))), max(1, int(self.per_round * share))]
+        for _ in range(self.rounds if 0 < share < 1 else 0):
+            view, label, key, *both = propose(models, given, most, self.sure)
+            for v in (0, 1):
+                got = view == 1 - v
+                gained[v] = np.vstack([gained[v][0], both[v][got]]), np.concatenate([gained[v][1], label[got]])
+                given[v] = np.concatenate([given[v], key[got]])
+            self.pseudo.append((int((view == 0).sum()), int((view == 1).sum())))
             models = [refit(0), refit(1)]
         self.models = models
         logits = [m.logit(x[held]) for m, x in zip(models, (a, b))]
@@ -123,42 +148,53 @@ def _prepare(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_
     )
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", size_col: str = "n_chars", fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS) -> CoTrained:
-    """Fit on at most ``fit_rows`` labelled and ``pool_rows`` other rows, those with the smallest hash of the id.
+def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", size_col: str = "n_chars", fit_rows: int = FIT_ROWS, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> CoTrained:
+    """Fit on at most ``fit_rows`` labelled rows, those with the smallest hash of the id, and on what the models label of all others.
 
-    Of several labels of an id the mean counts, rounded half up; null labels count as none.
+    Every round scores all rows; a model labels at most ``per_round`` of them, the surest of
+    the whole table, so what reaches the driver is bounded by the parameters. Rows that
+    look alike in both views are labelled once. Of several labels of an id the mean counts,
+    rounded half up; null labels count as none; of several rows of an id one is fitted on.
     Without any labelled row the models say 0.5 of every document.
     """
-    scratch = Scratch(docs.sparkSession, "cotrain")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "cotrain")
     rows = _prepare(docs, id_col, text_col, source_col, lang_col, size_col)
-    order = (F.xxhash64("id"), F.col("id"))
+    features = scratch.table(rows.mapInArrow(_featurize, "id long, key long, x binary"), "features")
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).dropna().groupBy("id").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
-    ids = rows.select("id").dropna().distinct()
-    labelled = ids.join(known, "id").orderBy(*order).limit(fit_rows)
-    pool = ids.join(known, "id", "left_anti").orderBy(*order).limit(pool_rows).withColumn("y", F.lit(-1.0))
-    # Bounded by the two parameters, whatever the size of the corpus, and so small enough to be broadcast.
-    chosen = scratch.table(labelled.unionByName(pool), "chosen")
-    features = rows.join(F.broadcast(chosen.select("id")), "id").mapInArrow(_featurize, "id long, a array<float>, b array<float>")
-    data = features.join(F.broadcast(chosen), "id").toArrow().to_pandas().drop_duplicates("id")
-    data["hash"] = [zlib.crc32(str(i).encode()) for i in data.id]
-    data = data.sort_values(["hash", "id"])
-    wide = [len(text_features("", b"")), len(meta_features("", "", 0, 0, 1))]
-    split = lambda part: [np.array(list(part[c])).reshape(len(part), w) for c, w in zip("ab", wide)]
-    fit, pool = data[data.y >= 0], data[data.y < 0]
-    return CoTrained().fit(*split(fit), fit.y.to_numpy(), *split(pool))
+    ids = features.select("id").dropna().distinct()
+    # Bounded by the parameter, whatever the size of the corpus, and so small enough to be broadcast.
+    chosen = scratch.table(ids.join(known, "id").orderBy(F.xxhash64("id"), "id").limit(fit_rows), "chosen")
+    data = features.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min_by("x", "key").alias("x"), F.min("key").alias("key")).orderBy(F.xxhash64("id"), "id").toArrow()
+
+    fitted = data.column("key").to_numpy()
+
+    def propose(models, given, most, sure):
+        step = scratch.path(uuid.uuid4().hex)
+        told = [np.concatenate([fitted, g]) for g in given]
+        features.select("key", "x").mapInArrow(_proposer(models, told, most, sure), "view int, label int, key long, sure double").write.parquet(step)
+        found = spark.read.parquet(step)
+        best = [found.filter((F.col("view") == v) & (F.col("label") == label)).groupBy("view", "label", "key").agg(F.max("sure").alias("sure")).orderBy(F.desc("sure"), "key").limit(most[label]) for v in (0, 1) for label in (0, 1)]
+        picked = scratch.table(reduce(DataFrame.unionByName, best), uuid.uuid4().hex)
+        wanted = features.join(F.broadcast(picked.select("key").distinct()), "key").groupBy("key").agg(F.min("x").alias("x"))
+        got = wanted.join(F.broadcast(picked), "key").orderBy("view", "label", F.desc("sure"), "key").toArrow()
+        return (*(got.column(c).to_numpy() for c in ("view", "label", "key")), *_split(got.column("x")))
+
+    model = CoTrained(rounds, per_round).fit(*_split(data.column("x")), data.column("y").to_numpy(), propose)
+    scratch.drop("features")
+    return model
 
 
 def _scorer(model: CoTrained):
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             a, b = _views(batch)
             pa_, pb_, p = model.score(a, b)
             empty = np.array([not t.strip() for t in batch.column("text").to_pylist()], bool)
             p = np.where(empty, 0.0, p)
             kept = {c: batch.column(c) for c in batch.schema.names if c.startswith("keep")}
             yield pa.record_batch({"id": batch.column("id"), "text_score": pa.array(pa_), "meta_score": pa.array(pb_), "quality_score": pa.array(p)} | kept)
+        release()
 
     return run
 
