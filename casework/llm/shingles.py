@@ -43,6 +43,17 @@ def ngram_hashes(h: np.ndarray, k: int) -> np.ndarray:
         return mix(total)
 
 
+def spaced_hashes(h: np.ndarray, places: tuple[int, ...]) -> np.ndarray:
+    """Hash of the words at ``places`` from each position; none where there are fewer words than they span."""
+    n = max(0, len(h) - places[-1])
+    with np.errstate(over="ignore"):
+        total = np.full(n, len(places), np.uint64) * _B
+        for j, p in enumerate(places):
+            total = (total ^ h[p : n + p]) * (_A + np.uint64(2 * j))
+            total ^= total >> np.uint64(29)
+        return mix(total)
+
+
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     """Per text the sorted distinct hashes of its ``k``-word shingles."""
     h, at = word_hashes(texts)
