@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bloom_join
+from .common import Scratch, bloom_join, slices
 
 #: Batches in which one call takes in its documents.
 BATCHES = 4
@@ -37,7 +37,7 @@ def _hash(key: bytes) -> bytes:
 
 
 def _hash_lines(batches):
-    for batch in batches:
+    for batch in slices(batches):
         counts, hashes, shas = [], [], []
         for text in batch.column("text").to_pylist():
             keys = [line_key(x) for x in text.split(b"\n")]
@@ -50,7 +50,7 @@ def _hash_lines(batches):
 
 
 def _drop_lines(batches):
-    for batch in batches:
+    for batch in slices(batches):
         dropped, shas, texts = [], [], []
         for text, at in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist()):
             at = set(at)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bloom_join, may_contain
+from .common import Scratch, bloom_join, may_contain, release, slices
 from .components import connected_components, forest_roots
 from .shingles import mix, shingle_sets
 
@@ -121,7 +121,7 @@ def _index(k: int, percent: int):
     ends = band_ends(percent)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = shingle_sets(batch.column("text"), k)
             with np.errstate(over="ignore"):
                 first = [int(s.sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
@@ -136,6 +136,7 @@ def _index(k: int, percent: int):
                     "groups": pa.array(groups, ENTRY_KIND),
                 }
             )
+        release()
 
     return run
 
@@ -150,7 +151,7 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 def _sets(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = shingle_sets(batch.column("text"), k)
             yield pa.record_batch(
                 {
@@ -160,6 +161,7 @@ def _sets(k: int):
                     "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
                 }
             )
+        release()
 
     return run
 
@@ -253,6 +255,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     few = bloom_join(scratch, "likely-sets", sets.select("id", "shingles"), ids.filter("n > 0").select("id"), "id", lambda joined: joined)
     merged = connected_components(_links(scratch, "other-pairs", likely, few, percent).select(F.col("c").alias("a"), F.col("d").alias("b")), scratch, "merged")
 
+    scratch.drop("candidates", "sets", "hot", "in-hot", "fine", "coarse-kept", "fine-kept", "kept", "hub-pairs", "named", "open", "likely", "likely-ids", "likely-sets", "other-pairs")
     result = indexed.select("id", "n", "s1", "s2").filter("n > 0").join(same, ["s1", "s2"]).select("id", "n", "set_id").unionByName(
         indexed.filter("n = 0").select("id", "n", F.col("id").alias("set_id"))
     )

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, slices
 from .linear import Logistic
 
 #: Labelled rows that the chain is fitted on at most, picked by hash of the id.
@@ -81,7 +81,7 @@ class Chain:
 
 
 def _sample_terms(batches):
-    for batch in batches:
+    for batch in slices(batches):
         rows = [list(terms_of(t)) for t in batch.column("text").to_pylist()]
         yield pa.record_batch({"id": batch.column("id"), "terms": pa.array(rows, pa.list_(pa.string()))})
 
@@ -122,7 +122,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
 
 def _scorer(chain: Chain):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             p = chain.predict(chain.features(batch.column("text").to_pylist()))
             yield pa.record_batch({"id": batch.column("id")} | {f"p{k}": pa.array(p[:, k], pa.float64()) for k in range(len(chain.categories))})
 
@@ -142,12 +142,14 @@ def score_toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_c
     return scored.select(F.col("id").alias(id_col), *(F.col(f"p{k}").alias(f"p_{c}") for k, c in enumerate(chain.categories)), (last >= threshold).alias("toxic"))
 
 
-#: Languages whose abuse is a category of its own; the last category is toxicity as such.
+#: Languages whose abuse is a category of its own. Before them comes low quality, the one other label there is and no part of toxicity; the last category is toxicity as such.
 LANGS = ("en", "de", "fr", "es")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    by_lang = labels.join(docs.select("doc_id", "lang"), "doc_id").select("doc_id", "toxic", *((F.coalesce(F.col("toxic") * (F.col("lang") == x).cast("int"), F.lit(0))).alias(f"toxic_{x}") for x in LANGS))
-    return score_toxicity(docs, fit_chain(docs, by_lang, [*(f"toxic_{x}" for x in LANGS), "toxic"]))
+    toxic = F.coalesce(F.col("toxic").cast("int"), F.lit(0))
+    by_lang = labels.select("doc_id", "toxic", (1 - F.col("quality")).alias("low_quality")).join(docs.select("doc_id", "lang"), "doc_id")
+    by_lang = by_lang.select("doc_id", "low_quality", "toxic", *(F.coalesce(toxic * (F.col("lang") == x).cast("int"), F.lit(0)).alias(f"toxic_{x}") for x in LANGS))
+    return score_toxicity(docs, fit_chain(docs, by_lang, ["low_quality", *(f"toxic_{x}" for x in LANGS), "toxic"]))
