@@ -54,6 +54,23 @@ def spaced_hashes(h: np.ndarray, places: tuple[int, ...]) -> np.ndarray:
         return mix(total)
 
 
+def run_hashes(h: np.ndarray, words: int) -> np.ndarray:
+    """Hash of the run of ``words`` words from each position, put together from runs whose lengths are powers of two."""
+    if len(h) < words:
+        return np.zeros(0, np.uint64)
+    out, at, size, power = None, 0, 1, h
+    with np.errstate(over="ignore"):
+        while at < words:
+            if words & size:
+                part = power[at : at + len(h) - words + 1]
+                out = mix(part * _A) if out is None else mix((out ^ part) * _A)
+                at += size
+            if at < words:
+                power = mix(power[: len(power) - size] * _B + power[size:])
+            size *= 2
+    return out
+
+
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     """Per text the sorted distinct hashes of its ``k``-word shingles."""
     h, at = word_hashes(texts)
