@@ -32,6 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Shuffle files go when the query that made them ends; its result is a table by then.
+CLEAN_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 class Scratch:
     """A folder of intermediate tables for one call of an operator."""
 
@@ -45,7 +49,8 @@ class Scratch:
     def table(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         """Write ``df`` as a table and return a DataFrame that reads it."""
         writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-        writer.parquet(self.path(name))
+        with session_conf(self.spark, **CLEAN_CONF):
+            writer.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
