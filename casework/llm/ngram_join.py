@@ -141,12 +141,38 @@ def _index(k: int, percent: int):
     return run
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parity of the number of shingles in each of ``64 * SKETCH_WORDS`` buckets. The sketches of two sets differ in no more bits than the sets in shingles."""
-    bits = 64 * SKETCH_WORDS
+def _parity(shingles: np.ndarray, bits: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         counts = np.bincount((mix(shingles * np.uint64(0xA0761D6478BD642F)) % np.uint64(bits)).astype(np.int64), minlength=bits)
-    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+    return np.packbits((counts & 1).astype(np.uint8))
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of ``64 * SKETCH_WORDS`` buckets. The sketches of two sets differ in no more bits than the sets in shingles."""
+    return _parity(shingles, 64 * SKETCH_WORDS).view(np.int64)
+
+
+def wide_sketch(shingles: np.ndarray) -> bytes:
+    """The same in two to four buckets per shingle, a power of two, for a thirtieth of the set's size."""
+    return _parity(shingles, 1 << max(10, (2 * len(shingles) - 1).bit_length())).tobytes()
+
+
+def wide_difference(x: bytes, y: bytes) -> int:
+    """Bits in which two wide sketches differ; the wider one is folded to the width of the other."""
+    u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(u) != len(v):
+        u, v = (u, v) if len(u) > len(v) else (v, u)
+        u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+    return int(np.bitwise_count(u ^ v).sum())
+
+
+def _compare_wide(percent: int):
+    def run(batches):
+        for batch in batches:
+            keep = [wide_difference(x, y) * (100 + percent) <= (m + n) * (100 - percent) for x, y, m, n in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "m", "n")))]
+            yield batch.select(["a", "b", "c", "d"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _sets(k: int):
@@ -158,6 +184,7 @@ def _sets(k: int):
                     "id": batch.column("id"),
                     "size": pa.array([len(s) for s in sets], pa.int64()),
                     "sketch": pa.array([sketch(s) for s in sets], pa.list_(pa.int64())),
+                    "wide": pa.array([wide_sketch(s) for s in sets], pa.binary()),
                     "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
                 }
             )
@@ -231,7 +258,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     sets = bloom_join(
         scratch, "sets", rows, scratch.table(kept.select("id").distinct().withColumn("n", F.lit(1)), "candidates").filter("n > 0").select("id"), "id",
-        lambda joined: joined.select("id", "text").mapInArrow(_sets(words), "id long, size long, sketch array<long>, shingles array<long>"),
+        lambda joined: joined.select("id", "text").mapInArrow(_sets(words), "id long, size long, sketch array<long>, wide binary, shingles array<long>"),
     )
     # Pairs under a hot entry are pairs of the finer index, so the hot entries can go.
     hot = scratch.table(kept.groupBy("entry").agg(F.count("*").alias("sets")).filter(F.col("sets") >= HOT_SETS), "hot")
@@ -250,12 +277,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near_hub = forest_roots(to_hubs.select(F.col("b").alias("node"), F.col("a").alias("parent")), scratch, "forest")
     # What is in one component needs no comparison; everything else that shares an entry and has a sketch near enough gets one. The links between components are then few.
     named = scratch.table(_label(kept, near_hub, "id", "c"), "named")
-    likely = scratch.table(_likely_pairs(scratch, named, sets, percent), "likely")
+    likely = scratch.table(_likely_pairs(scratch, named, sets, percent), "sketched")
+    # The short sketches of large sets say little; wide ones leave few pairs for which whole sets are moved.
+    wide = lambda i, n, w: sets.select(F.col("id").alias(i), F.col("size").alias(n), F.col("wide").alias(w))
+    likely = likely.join(wide("a", "m", "x"), "a").join(wide("b", "n", "y"), "b").select("a", "b", "c", "d", "m", "n", "x", "y")
+    likely = scratch.table(likely.mapInArrow(_compare_wide(percent), "a long, b long, c long, d long"), "likely")
     ids = scratch.table(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("n", F.lit(1)), "likely-ids")
     few = bloom_join(scratch, "likely-sets", sets.select("id", "shingles"), ids.filter("n > 0").select("id"), "id", lambda joined: joined)
     merged = connected_components(_links(scratch, "other-pairs", likely, few, percent).select(F.col("c").alias("a"), F.col("d").alias("b")), scratch, "merged")
 
-    scratch.drop("candidates", "sets", "hot", "in-hot", "fine", "coarse-kept", "fine-kept", "kept", "hub-pairs", "named", "open", "likely", "likely-ids", "likely-sets", "other-pairs")
+    scratch.drop("candidates", "sets", "hot", "in-hot", "fine", "coarse-kept", "fine-kept", "kept", "hub-pairs", "named", "open", "sketched", "likely", "likely-ids", "likely-sets", "other-pairs")
     result = indexed.select("id", "n", "s1", "s2").filter("n > 0").join(same, ["s1", "s2"]).select("id", "n", "set_id").unionByName(
         indexed.filter("n = 0").select("id", "n", F.col("id").alias("set_id"))
     )

@@ -445,6 +445,8 @@ def test_sketches_never_differ_more_than_the_sets():
         a, b = np.unique(a), np.unique(b)
         differ = sum(int(x).bit_count() for x in (ngram_join.sketch(a) ^ ngram_join.sketch(b)).view(np.uint64))
         assert differ <= len(np.setxor1d(a, b))
+        for c in (b, np.concatenate([b, np.arange(1000, 1000 + 700, dtype=np.uint64)])):  # another width
+            assert ngram_join.wide_difference(ngram_join.wide_sketch(a), ngram_join.wide_sketch(c)) <= len(np.setxor1d(a, c))
 
 
 def test_a_common_passage_makes_few_pairs(spark, monkeypatch):
