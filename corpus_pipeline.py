@@ -5,6 +5,11 @@ columns of ``documents``; the last one returns token ids. Every stage's result i
 as Parquet and read again as the next one's ``docs``. SQL can't express the stages (a
 fitted model, edit distances, a tokenizer), so ``ORACLE_SQL`` is None and ``tests/llm``
 hold the pipeline against a plain version in Python.
+
+A row goes by its id. Rows without an id stay in stages 2 to 4, as nothing can name them;
+rows that share an id go together, and those of equal id and text stay together. Null text
+counts as empty: such rows are rejected by the first stage, and where that is left out, one
+of them stays. Empty tables pass through every stage.
 """
 
 from __future__ import annotations
