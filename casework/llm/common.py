@@ -32,8 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Shuffle files go when the query that made them ends; its result is a table by then.
-CLEAN_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Shuffle files go when the query that made them ends; its result is a table by then. Batches to Python are small, as rows can be long.
+CLEAN_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 class Scratch:
@@ -62,7 +62,7 @@ class Scratch:
 
 
 #: Bytes of text that a Python task works on at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def slices(batches, column: str = "text", most: int = SLICE_BYTES):

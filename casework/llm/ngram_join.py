@@ -268,6 +268,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         lambda joined: joined.select("id", "shingles").mapInArrow(_fine_index(percent), f"id long, n long, groups {ENTRY}"),
     )
     kept = scratch.table(kept.join(hot.select("entry"), "entry", "left_anti").unionByName(_allocate(scratch, "fine", again)), "kept")
+    scratch.drop("candidates", "hot", "in-hot", "fine", "coarse-kept", "fine-kept")
 
     close = F.greatest("n", "m") * percent <= F.least("n", "m") * 100
     hubs = kept.groupBy("entry").agg(F.min_by(F.struct("id", "n"), "id").alias("hub"), F.count("*").alias("sets")).filter("sets > 1").select("entry", F.col("hub.id").alias("hub"), F.col("hub.n").alias("m"))
@@ -286,7 +287,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     few = bloom_join(scratch, "likely-sets", sets.select("id", "shingles"), ids.filter("n > 0").select("id"), "id", lambda joined: joined)
     merged = connected_components(_links(scratch, "other-pairs", likely, few, percent).select(F.col("c").alias("a"), F.col("d").alias("b")), scratch, "merged")
 
-    scratch.drop("candidates", "sets", "hot", "in-hot", "fine", "coarse-kept", "fine-kept", "kept", "hub-pairs", "named", "open", "sketched", "likely", "likely-ids", "likely-sets", "other-pairs")
+    scratch.drop("sets", "kept", "hub-pairs", "named", "open", "sketched", "likely", "likely-ids", "likely-sets", "other-pairs")
     result = indexed.select("id", "n", "s1", "s2").filter("n > 0").join(same, ["s1", "s2"]).select("id", "n", "set_id").unionByName(
         indexed.filter("n = 0").select("id", "n", F.col("id").alias("set_id"))
     )

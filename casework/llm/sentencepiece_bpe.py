@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import release, slices
 
-#: Entries that a task keeps of parts and of pairs, some 130 MB together; beyond them it begins anew. Longer parts are not kept.
-CACHE_PARTS = 250_000
-CACHE_PAIRS = 250_000
+#: Entries that a task keeps of parts and of pairs, some 60 MB together; beyond them it begins anew. Longer parts are not kept.
+CACHE_PARTS = 100_000
+CACHE_PAIRS = 100_000
 CACHE_CHARS = 40
 META = "▁"  # stands for a space
 
