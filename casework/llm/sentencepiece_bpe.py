@@ -25,24 +25,30 @@ from pyspark.sql import functions as F
 
 from .common import release, slices
 
-#: Entries that a task keeps of parts and of pairs, some 60 MB together; beyond them it begins anew. Longer parts are not kept.
-CACHE_PARTS = 100_000
-CACHE_PAIRS = 100_000
+#: Entries that a task keeps of parts and of pairs, some 90 MB together; beyond them it forgets what it has not needed for long. Longer parts are not kept.
+CACHE_PARTS = 160_000
+CACHE_PAIRS = 160_000
 CACHE_CHARS = 40
 META = "▁"  # stands for a space
 
 
 class _Bounded(dict):
-    """A dictionary that computes what it lacks and holds a bounded number of entries, of bounded keys where ``chars`` is given."""
+    """A dictionary that computes what it lacks and holds a bounded number of entries, of bounded keys where ``chars`` is given.
+
+    Half of the entries are those asked for since it was last half full, the others those asked for in the time before.
+    """
 
     def __init__(self, make, most: int, chars: int | None = None):
-        self.make, self.most, self.chars = make, most, chars
+        self.make, self.most, self.chars, self.before = make, most // 2, chars, {}
 
     def __missing__(self, key):
-        value = self.make(key)
-        if self.chars and len(key) > self.chars:
-            return value
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+            if self.chars and len(key) > self.chars:
+                return value
         if len(self) >= self.most:
+            self.before = dict(self)
             self.clear()
         self[key] = value
         return value
