@@ -20,8 +20,6 @@ from .myers import masks, search
 ERROR_PERCENT = 5
 #: Characters of items that one automaton holds on average. More items go in blocks, each with a pass over the documents.
 BLOCK_CHARS = 1_000_000
-#: Items of fewer characters (normalised) must occur as they are, between spaces.
-SHORT_CHARS = 40
 
 
 def normalized(text):
@@ -45,8 +43,8 @@ class Matcher:
         self.items = []
         at: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for key, text in items:
-            errors = 0 if len(text) < SHORT_CHARS else len(text) * error_percent // 100
-            text = f" {text} " if len(text) < SHORT_CHARS else text
+            errors = len(text) * error_percent // 100
+            text = f" {text} "  # whole words
             self.items.append((key, text, errors, masks(text)))
             for offset, piece in pieces(text, errors):
                 at[piece].append((len(self.items) - 1, offset))
@@ -84,7 +82,7 @@ class Matcher:
                 low = max(0, first - errors)
                 found, end = self._distance(i, text[low : last + n + errors])
                 if found <= errors and (best is None or found < best[0]):
-                    best = found, low + end - 1
+                    best = found, low + end - 2  # without the space before the text and that after the item
             if best:
                 out.append((key, *best))
         return out
@@ -109,7 +107,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     Both sides are normalised to lower-case letters and digits with single spaces;
     ``distance`` counts edits of an item's characters there, at most ``error_percent``
     hundredths of its length, and ``end`` is where the best match ends in the normalised
-    document. Items shorter than 40 characters match only unchanged and as whole words.
+    document. Items match as whole words, a letter more at an end being an edit; one too
+    short for an edit matches only unchanged.
     Null or empty items match nothing, null or empty documents have no match. Repeated items
     and repeated rows are reported each. Rows with a null id are searched like others. Empty
     tables give an empty result; other columns are ignored, whatever their names.
