@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import release, slices
 
-#: Entries that a task keeps of parts and of pairs, some 90 MB together; beyond them it forgets what it has not needed for long. Longer parts are not kept.
+#: Entries that a task keeps of parts and of pairs, some 70 MB together; beyond them it forgets what it has not needed for long. Longer parts are not kept.
 CACHE_PARTS = 160_000
 CACHE_PAIRS = 160_000
 CACHE_CHARS = 40
@@ -153,7 +153,7 @@ class PieceEncoder:
                 piece = shorter.get(last, "") or (part[pos] if len(last) > 1 and part[pos] not in ids else "")
         return out
 
-    def _encode_part(self, part: str) -> tuple[tuple[int, ...], str]:
+    def _encode_part(self, part: str) -> tuple[int, ...]:
         ids: list[int] = []
         for piece in self.pieces(part):
             found = self.ids.get(piece)
@@ -161,15 +161,13 @@ class PieceEncoder:
                 ids.extend(self.bytes[b] for b in piece.encode())
             else:
                 ids.append(found)
-        return tuple(ids), ",".join(map(str, ids))
+        return tuple(ids)
 
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """The ids of a text, and the same in decimal with commas between."""
+    def encode(self, text: str) -> list[int]:
+        """The ids of a text."""
         if not text:
-            return [], ""
-        encoded = self.encoded
-        found = [encoded[part] for part in self.parts(self.prefix + text.replace(" ", META))]
-        return list(chain.from_iterable([ids for ids, _ in found])), ",".join([text for _, text in found])
+            return []
+        return list(chain.from_iterable(map(self.encoded.__getitem__, self.parts(self.prefix + text.replace(" ", META)))))
 
 
 #: What :func:`tokenize` can return, and the types.
@@ -180,11 +178,11 @@ _ARROW = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "ids_sha256": pa.
 def _tokenizer(model: str, outputs: tuple[str, ...]):
     def run(batches):
         encoder = PieceEncoder(model)
-        decode = encoder.library.decode
+        decode, decimal = encoder.library.decode, [str(i) for i in range(encoder.library.get_piece_size())].__getitem__
         for batch in slices(batches):
             values = {name: [] for name in outputs}
             for text in batch.column("text"):
-                ids, joined = encoder.encode(text.as_py())
+                ids = encoder.encode(text.as_py())
                 decoded = decode(ids) if "decoded" in values or "decoded_sha256" in values else None
                 for name, add in values.items():
                     if name == "n_tokens":
@@ -192,7 +190,7 @@ def _tokenizer(model: str, outputs: tuple[str, ...]):
                     elif name == "ids":
                         add.append(pa.array(ids, pa.int32()))
                     elif name == "ids_sha256":
-                        add.append(hashlib.sha256(joined.encode()).hexdigest())
+                        add.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
                     elif name == "decoded":
                         add.append(decoded)
                     else:
