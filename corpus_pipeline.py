@@ -54,8 +54,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left, and the digest of what they decode to."""
-    return tokenize(docs, keep=("lang", "source"), outputs=("n_tokens", "ids", "decoded_sha256"))
+    """Token ids of every document that is left, and the digest of what they decode to. Written here, as the size of batches to Python is a setting of the session that runs the job."""
+    return Scratch(spark, "tokens").table(tokenize(docs, keep=("lang", "source"), outputs=("n_tokens", "ids", "decoded_sha256")), "ids")
 
 
 STAGES = [
