@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import acyclic  # noqa: F401  a rule of supersession
+
 # Fixed policy of agent actions: type, legal effect, certification, safety class, prohibited follow-on actions.
 ACTION_POLICY = [
     ("extract_events", "none", False, "medium", ["certify_exemption", "approve_release"]),
@@ -149,16 +151,3 @@ def context_pack(profiles: DataFrame, events: DataFrame, tasks: DataFrame) -> Da
         )
     )
     return rows.select("request_id", "authority", "normalised_state", F.coalesce("events", F.lit(0)).alias("events"), types.alias("event_types"), "last_event", F.coalesce("open_tasks", F.lit(0)).alias("open_tasks"), actions.alias("next_actions"))
-
-
-def acyclic(links: DataFrame, rounds: int = 32) -> bool:
-    """Is a supersession graph (``old, new``) free of cycles? Peels off what nothing supersedes; a cycle never goes."""
-    left = links.select("old", "new").distinct()
-    for _ in range(rounds):
-        n = left.count()
-        if not n:
-            return True
-        left = left.join(left.select(F.col("old").alias("new")).distinct(), "new", "left_semi").checkpoint()
-        if left.count() == n:
-            return False
-    raise ValueError("the graph is deeper than the rounds allow")

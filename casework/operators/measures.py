@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
+from .drawing import bootstrap_draws, numbered
 
 
 def metric_report(events: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
@@ -79,15 +78,15 @@ def quantile(values: DataFrame, value: str, p: float) -> DataFrame:
 
 
 def bootstrap_agreement(rows: DataFrame, unit: str, a: str, b: str, replicates: int, seed: int, clusters: str | None = None) -> DataFrame:
-    """Agreement rate in each replicate. Whole clusters (or units) are drawn on the driver with Python's generator for exact repeatability; only their counts and numbers go there and back. The clusters of an annotation set are few."""
+    """Agreement rate in each replicate. Whole clusters (or units), in the order of their names, are drawn in tasks as Python's generator draws them, and their counts joined."""
     group = F.col(clusters or unit).cast("string")
     stats = rows.groupBy(group.alias("g")).agg(F.sum(F.col(a).eqNullSafe(F.col(b)).cast("long")).alias("agree"), F.count("*").alias("n"))
-    numbered = stats.withColumn("i", F.row_number().over(Window.orderBy("g")) - 1)
-    size = numbered.count()
-    rng = random.Random(seed)
-    draws = [(r, rng.randrange(size)) for r in range(replicates) for _ in range(size)] if size else []
-    drawn = rows.sparkSession.createDataFrame(draws, "replicate int, i int")
-    return drawn.join(F.broadcast(numbered), "i").groupBy("replicate").agg((F.sum("agree") / F.sum("n")).alias("agreement"))
+    places = numbered(stats, ["g"])
+    size = places.count()
+    if not size:
+        return rows.sparkSession.createDataFrame([], "replicate int, agreement double")
+    drawn = bootstrap_draws(rows.sparkSession, seed, size, replicates).join(places, "number")
+    return drawn.groupBy("replicate").agg((F.sum(F.col("times") * F.col("agree")) / F.sum(F.col("times") * F.col("n"))).alias("agreement"))
 
 
 def thresholds(metrics: DataFrame, limits: DataFrame) -> DataFrame:
