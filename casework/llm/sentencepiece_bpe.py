@@ -9,14 +9,16 @@ where none is; a bitfield remembers positions from which no way leads on, so eve
 fails once at most. Compatibility is tested by merging the two pieces' characters again.
 
 Texts are first cut where no piece can reach across, for example before every space. The
-parts repeat, so a task keeps the results of a bounded number of them. The encoder is built
-anew for each task (half a second) and goes with it.
+parts repeat, so a worker keeps the results of a bounded number of them, from one task to the
+next.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import types
 from itertools import chain
 
 import pyarrow as pa
@@ -25,11 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import release, slices
 
-#: Entries that a task keeps of parts and of pairs, some 70 MB together; beyond them it forgets what it has not needed for long. Longer parts are not kept.
+#: Entries that a worker keeps of parts and of pairs, some 70 MB together; beyond them it forgets what it has not needed for long. Longer parts are not kept.
 CACHE_PARTS = 160_000
 CACHE_PAIRS = 160_000
 CACHE_CHARS = 40
 META = "▁"  # stands for a space
+NO_SCORE = float("-inf")
 
 
 class _Bounded(dict):
@@ -76,14 +79,14 @@ class PieceEncoder:
         self.scores = {p.piece: p.score for p in proto.pieces if p.type == 1}
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        #: From every piece to the longest shorter piece that begins it.
+        #: From every piece to the longest shorter piece that begins it; where a character outside the vocabulary begins it, that character stands before all of them too.
         self.shorter: dict[str, str] = {}
         for piece in self.ids:
             self.automaton.add_word(piece)
-            self.shorter[piece] = next((piece[:n] for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.ids), "")
+            self.shorter[piece] = next((piece[:n] for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.ids), piece[0] if len(piece) > 1 else "")
         self.automaton.make_automaton()
         self.parts = re.compile(self._parts([p for p in self.ids if len(p) > 1])).findall
-        self.compatible = _Bounded(lambda pair: self.merge("".join(pair)) == list(pair), CACHE_PAIRS)
+        self.compatible = _Bounded(self._compatible, CACHE_PAIRS)
         self.encoded = _Bounded(self._encode_part, CACHE_PARTS, CACHE_CHARS)
 
     def _parts(self, longer: list[str]) -> str:
@@ -110,16 +113,17 @@ class PieceEncoder:
 
     def merge(self, text: str) -> list[str]:
         """The model's own rule: again and again merge the neighbours whose piece has the best score, the leftmost of equals."""
-        symbols, scores = list(text), self.scores
-        while True:
-            best, at = None, -1
-            for i in range(len(symbols) - 1):
-                score = scores.get(symbols[i] + symbols[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if at < 0:
-                return symbols
+        symbols, score, none = list(text), self.scores.get, NO_SCORE
+        pairs = [score(a + b, none) for a, b in zip(symbols, symbols[1:])]
+        while pairs and (best := max(pairs)) > none:
+            at = pairs.index(best)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = score(symbols[at - 1] + symbols[at], none)
+            if at < len(pairs):
+                pairs[at] = score(symbols[at] + symbols[at + 1], none)
+        return symbols
 
     def _longest(self, part: str) -> list[int]:
         """For every position the length of the longest piece that begins there; a character outside the vocabulary stands for itself."""
@@ -129,39 +133,45 @@ class PieceEncoder:
                 longest[end + 1 - length] = length
         return longest
 
+    def _compatible(self, pair: tuple[str, str]) -> bool:
+        """Are the two merged into just these two? Nothing before the second one stands for the beginning of the text."""
+        whole = "".join(pair)
+        if not pair[0]:
+            return self.merge(whole) == [whole]
+        # Where the two are a piece together, merging can't end with them.
+        return whole not in self.scores and self.merge(whole) == list(pair)
+
     def pieces(self, part: str) -> list[str]:
         """Backtracking over the longest matches."""
-        n, ids, shorter, compatible, longest = len(part), self.ids, self.shorter, self.compatible, self._longest(part)
-        failed = bytearray(n // 8 + 1)  # a bit for each position
+        n, shorter, compatible, longest = len(part), self.shorter.get, self.compatible, self._longest(part)
+        failed, any_failed = bytearray(n // 8 + 1), False  # a bit for each position
         out: list[str] = []
-        pos, piece = 0, part[: longest[0]]
+        pos, last, piece = 0, "", part[: longest[0]]
         while pos < n:
             while piece:
                 end = pos + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and compatible[(out[-1], piece) if out else (piece,)]:
+                if compatible[last, piece] and not (any_failed and failed[end >> 3] >> (end & 7) & 1):
                     break
-                # a character outside the vocabulary can stand before all longer pieces too
-                piece = shorter.get(piece, "") or (part[pos] if len(piece) > 1 and part[pos] not in ids else "")
+                piece = shorter(piece, "")
             if piece:
                 out.append(piece)
-                pos = end
-                piece = part[pos : pos + longest[pos]] if pos < n else ""
+                pos, last = end, piece
+                if pos < n:
+                    piece = part[pos : pos + longest[pos]]
             else:
                 failed[pos >> 3] |= 1 << (pos & 7)
-                last = out.pop()
-                pos -= len(last)
-                piece = shorter.get(last, "") or (part[pos] if len(last) > 1 and part[pos] not in ids else "")
+                any_failed = True
+                piece = out.pop()
+                pos -= len(piece)
+                piece, last = shorter(piece, ""), out[-1] if out else ""
         return out
 
     def _encode_part(self, part: str) -> tuple[int, ...]:
-        ids: list[int] = []
-        for piece in self.pieces(part):
-            found = self.ids.get(piece)
-            if found is None:
-                ids.extend(self.bytes[b] for b in piece.encode())
-            else:
-                ids.append(found)
-        return tuple(ids)
+        pieces, ids = self.pieces(part), self.ids
+        try:
+            return tuple([ids[piece] for piece in pieces])
+        except KeyError:
+            return tuple(chain.from_iterable((ids[p],) if p in ids else (self.bytes[b] for b in p.encode()) for p in pieces))
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text."""
@@ -175,9 +185,17 @@ OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "dec
 _ARROW = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "ids_sha256": pa.string(), "decoded": pa.string(), "decoded_sha256": pa.string()}
 
 
+def _of_worker(model: str) -> PieceEncoder:
+    """The encoder of this Python worker, with its caches, for the task at hand. Tasks of a worker come one after the other and meet the same words; functions that travel by value have no module of their own to keep it in."""
+    kept = sys.modules.setdefault("casework_of_worker", types.ModuleType("casework_of_worker")).__dict__
+    if kept.get("model") != model:
+        kept.update(model=model, encoder=PieceEncoder(model))
+    return kept["encoder"]
+
+
 def _tokenizer(model: str, outputs: tuple[str, ...]):
     def run(batches):
-        encoder = PieceEncoder(model)
+        encoder = _of_worker(model)
         decode, decimal = encoder.library.decode, [str(i) for i in range(encoder.library.get_piece_size())].__getitem__
         for batch in slices(batches):
             values = {name: [] for name in outputs}
@@ -197,7 +215,6 @@ def _tokenizer(model: str, outputs: tuple[str, ...]):
                         add.append(hashlib.sha256(decoded.encode()).hexdigest())
             kept = {c: batch.column(c) for c in batch.schema.names if c != "text"}
             yield pa.record_batch(kept | {name: pa.array(v, _ARROW[name]) for name, v in values.items()})
-        del encoder, decode
         release()
 
     return run
