@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import agreement, decisions, documents, drawing, gates, lineage
+from ..operators import agreement, captures, decisions, documents, drawing, extractors, gates, lineage
 from ..sources import tables as src
 from .process import _DUE, _calendar
 
@@ -212,3 +212,72 @@ SQL = {
         UNION ALL SELECT event_id, 'human_certification_boundary_required' FROM core_events WHERE event_type IN ('ExtensionNotified', 'ReleaseMade', 'RefusalCommunicated') AND NOT requires_human_certification
         UNION ALL SELECT event_id, 'provider_human_certification_rejected' FROM core_events WHERE human_certified) SELECT event_id, code, false AS passed_on FROM f""",
 }
+
+
+def _marked(unit: dict) -> dict:
+    """An extractor to try the hook with: it labels by the first letter `e`, gives its place, and breaks the contract here and there."""
+    at, key = unit["text"].find("e"), int(unit["unit_id"])
+    if key % 50 == 7:
+        return {"label": "unheard", "spans": [], "provenance": {}}
+    if key % 50 == 8:
+        return {"label": "1", "spans": [{"start": 0, "end": len(unit["text"]) + 1}], "provenance": {}}
+    if key % 50 == 9:
+        raise KeyError(key)
+    if at < 0 or key % 6 == 0:
+        return {"label": None, "spans": [], "provenance": {}}
+    return {"label": str(at % 2), "spans": [{"start": at, "end": at + 1}], "provenance": {"rule": "first_e" if key % 4 else "", "unit": key}}
+
+
+def _extracted(spark, d):
+    extractors.register_extractor(spark, "casework_first_e", _marked, ["0", "1"])
+    units = src.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("unit_id"), "text")
+    return extractors.extract(units, "casework_first_e")
+
+
+def extractor_problems(spark, d):
+    return _extracted(spark, d).groupBy("problem", F.col("label").isNotNull().alias("labelled")).agg(F.count("*").alias("n"))
+
+
+def extractor_report(spark, d):
+    docs = src.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("unit_id"), F.coalesce("text", F.lit("")).alias("text"))
+    at = F.instr("text", "e").cast("int")
+    gold = docs.select("unit_id", F.when(at > 0, (F.length("text") % 2).cast("string")).alias("label"), F.when(at > 0, F.array(F.struct((at - 1).alias("start"), (at + F.when(F.length("text") % 3 == 0, 0).otherwise(F.least(F.lit(1), F.length("text") - at))).alias("end")))).alias("spans"))
+    found = extractors.extractor_report(gold, _extracted(spark, d), ["rule", "unit"], 0.5)
+    return found.select(*(F.round(c, 9).alias(c) if t == "double" else c for c, t in found.dtypes))
+
+
+def capture_text(spark, d):
+    pages = src.table(spark, d, "pages")
+    found = captures.capture_text(pages, "page_id", "html", "div", "ad")
+    return found.select("page_id", "text", "text_sha256", F.size("spans").alias("parts"))
+
+
+def span_problems(spark, d):
+    """Spans of captures, sealed, against captures of which some have changed since."""
+    pages = src.table(spark, d, "pages").select("page_id", "html")
+    found = captures.capture_text(pages, "page_id", "html", "div", "ad")
+    sealed = captures.seal_spans(found, pages, "page_id", "html")
+    k = F.col("page_id")
+    later = pages.filter(k % 11 > 0).withColumn("html", F.when(k % 7 == 0, F.replace("html", F.lit('class="ad">'), F.lit('class="ad"> '))).when(k % 13 == 0, F.lit("")).otherwise(F.col("html")))
+    return captures.span_problems(sealed, found.withColumn("text", F.when(k % 17 == 0, F.translate("text", "aeiou", "uoiea")).otherwise(F.col("text"))), later, "page_id", "html")
+
+
+QUERIES |= {f.__name__: f for f in (extractor_problems, extractor_report, capture_text, span_problems)}
+
+_EXTRACTED = """d AS (SELECT doc_id AS k, coalesce(text, '') AS t FROM documents), m AS (SELECT *, strpos(t, 'e') AS a, length(t) AS n FROM d),
+    p AS (SELECT *, CASE k % 50 WHEN 7 THEN 'label_not_registered' WHEN 8 THEN 'span_outside_text' WHEN 9 THEN 'raised: KeyError' END AS problem, a > 0 AND k % 6 <> 0 AND k % 50 NOT IN (7, 8, 9) AS given,
+        CASE WHEN n % 3 = 0 THEN 0 ELSE least(1, n - a) END AS more FROM m)"""
+_AD = "regexp_extract_all(html, '(?s)<div class=\"ad\">(.*?)</div>', 1)"
+
+SQL |= {
+    "extractor_problems": f"WITH {_EXTRACTED} SELECT problem, given AS labelled, count(*) AS n FROM p GROUP BY ALL",
+    "extractor_report": f"""WITH {_EXTRACTED}, r AS (SELECT *, given AND (a - 1) % 2 = n % 2 AS hit, CASE WHEN given THEN more = 0 ELSE a = 0 END AS same FROM p),
+        c AS (SELECT count(*) AS units, count(problem) AS broken, count(*) FILTER (WHERE hit) AS tp, count(*) FILTER (WHERE given AND NOT hit) AS fp, count(*) FILTER (WHERE a > 0 AND NOT hit) AS fn, count(*) FILTER (WHERE given) AS covered,
+            count(*) FILTER (WHERE same) AS all_exact_spans, count(*) FILTER (WHERE hit AND same) AS exact_spans, count(*) FILTER (WHERE hit) AS overlapping, count(*) FILTER (WHERE given AND k % 4 <> 0) AS complete FROM r)
+        SELECT *, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2 * tp / (2 * tp + fp + fn), 9) AS f1, round(covered / units, 9) AS coverage, round(all_exact_spans / units, 9) AS all_exact_span_rate,
+            round(exact_spans / tp, 9) AS exact_span_rate, round(overlapping / tp, 9) AS overlap_rate, round(complete / covered, 9) AS provenance_rate FROM c""",
+    "capture_text": f"""WITH t AS (SELECT page_id, {_AD} AS parts FROM pages), j AS (SELECT page_id, trim(regexp_replace(replace(array_to_string(parts, ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS text, len(parts) AS n FROM t)
+        SELECT page_id, text, sha256(text) AS text_sha256, CAST(n AS INT) AS parts FROM j""",
+    "span_problems": f"""SELECT page_id, 0 AS position, CASE WHEN page_id % 11 = 0 THEN 'capture_missing' WHEN page_id % 7 <> 0 AND page_id % 13 = 0 THEN 'out_of_bounds' WHEN page_id % 17 = 0 THEN 'text_differs' ELSE 'source_differs' END AS issue
+        FROM pages WHERE len({_AD}) > 0 AND (page_id % 11 = 0 OR page_id % 7 = 0 OR page_id % 13 = 0 OR page_id % 17 = 0)""",
+}
