@@ -4,12 +4,13 @@ Each partition of the input keeps its texts. It sends only the sorted fingerprin
 texts to owners, which are ranges of the fingerprint space, as Golomb-Rice coded gaps. An
 owner answers every partition with a bitmap that marks the fingerprints which some other
 row has too. Only rows marked in this way, the suspects, are shuffled with their texts,
-and the texts themselves are compared there.
+and grouped by the texts themselves. A digest stands for a group only if a single text has it.
 """
 
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from .common import SPACE, Scratch, bloom_join
 
 #: Distinct fingerprints that one owner handles on average: 8 MB when decoded.
 OWNER_ROWS = 1_000_000
+#: The digest that names a text in the result, and in joins where the texts bear it out.
+DIGEST = partial(F.sha2, numBits=256)
 #: A fingerprint is this many bits wider than the base-2 logarithm of the row count, so about 1 in 4096 unique rows is a suspect by chance.
 SLACK_BITS = 12
 
@@ -103,7 +106,7 @@ def _receiver(owners: int, bits: int):
         for owner, bitmap in zip(bitmaps.column("owner").to_pylist(), bitmaps.column("bitmap").to_pylist()):
             a, b = at[owner], at[owner + 1]
             marked[a:b] = np.unpackbits(np.frombuffer(bitmap, np.uint8), count=int(b - a)).astype(bool)
-        return rows.drop_columns(["fp", "part"]).append_column("suspect", pa.array(marked[inverse].astype(np.int32)))
+        return rows.drop_columns(["part"]).append_column("suspect", pa.array(marked[inverse].astype(np.int32)))
 
     return receive
 
@@ -129,7 +132,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     prints = scratch.table(
         rows.select("id", F.length("text").alias("n"), squeezed.alias("squeezed")).select(
-            "id", "n", F.sha2("squeezed", 256).alias("sha"), F.xxhash64("squeezed").alias("fp"), F.spark_partition_id().alias("part")
+            "id", "n", DIGEST("squeezed").alias("sha"), F.xxhash64("squeezed").alias("fp"), F.spark_partition_id().alias("part")
         ),
         "fingerprints",
     )
@@ -140,27 +143,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sent = prints.select("part", "fp").groupBy("part").applyInArrow(_sender(owners, bits), "owner int, part int, hashes binary, repeated binary")
     answers = sent.groupBy("owner").applyInArrow(_answer, "part int, owner int, bitmap binary")
     marked = scratch.table(
-        prints.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_receiver(owners, bits), "id long, n int, sha string, suspect int"), "marked"
+        prints.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_receiver(owners, bits), "id long, n int, sha string, fp long, suspect int"), "marked"
     )
 
     suspects = marked.filter("suspect = 1")
-    groups = bloom_join(
-        scratch,
-        "groups",
-        rows.withColumn("key", key),
-        scratch.table(suspects.select(key.alias("key"), "suspect").distinct(), "suspects").filter("suspect = 1").select("key"),
-        "key",
-        lambda joined: joined.select("id", F.length("text").alias("n"), squeezed.alias("squeezed"))
-        .groupBy("squeezed")
-        .agg(F.count("*").alias("group_size"), F.min_by("id", F.struct(-F.col("n"), "id")).alias("keep_id"))
-        .select(F.sha2("squeezed", 256).alias("sha"), "group_size", "keep_id")
-        .filter("group_size > 1"),
-    )
-    # One row per text here: two rows with one digest would be different bytes under one SHA-256.
-    groups = groups.groupBy("sha").agg(F.count("*").alias("texts"), F.first("group_size").alias("group_size"), F.first("keep_id").alias("keep_id"))
-    groups = groups.select("sha", "group_size", "keep_id", F.assert_true(F.col("texts") == 1, F.lit("different texts share a SHA-256")).isNull().alias("verified"))
-
-    shared = suspects.join(groups, "sha", "left")
+    named = scratch.table(suspects.select(key.alias("key"), "suspect").distinct(), "suspects").filter("suspect = 1").select("key")
+    texts = lambda joined: joined.select("id", F.length("text").alias("n"), squeezed.alias("squeezed"))
+    grouped = lambda rows: rows.groupBy("squeezed").agg(F.count("*").alias("group_size"), F.min_by("id", F.struct(-F.col("n"), "id")).alias("keep_id"))
+    groups = bloom_join(scratch, "groups", rows.withColumn("key", key), named, "key", lambda joined: grouped(texts(joined)).select(DIGEST("squeezed").alias("sha"), "group_size", "keep_id"))
+
+    # One row per text there. Where a digest has one text, it stands for it; where it has several, the texts themselves decide.
+    verified = scratch.table(groups.groupBy("sha").agg(F.count("*").alias("texts"), F.first("group_size").alias("group_size"), F.first("keep_id").alias("keep_id")), "verified")
+    several = verified.filter("texts > 1").select("sha")
+    shared = suspects.select("id", "sha").join(verified, "sha", "left").filter("texts IS NULL OR texts = 1").select("id", "sha", "group_size", "keep_id")
+    if not several.isEmpty():
+        own = suspects.join(several, "sha", "left_semi").select(key.alias("key"), "fp").distinct()
+        whole = rows.select("id", F.length("text").alias("n"), squeezed.alias("squeezed"), key.alias("key")).withColumn("fp", F.xxhash64("squeezed"))
+        doubtful = scratch.table(whole.join(own, ["key", "fp"], "left_semi").select("id", "n", "squeezed", DIGEST("squeezed").alias("sha")), "doubtful")
+        shared = shared.unionByName(doubtful.select("id", "sha", "squeezed").join(scratch.table(grouped(doubtful), "by-text"), "squeezed").select("id", "sha", "group_size", "keep_id"))
     alone = F.col("group_size").isNull()
     return shared.select(
         F.col("id").alias(id_col),

@@ -318,6 +318,11 @@ def test_exact_dedup(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "SLACK_BITS", 0)  # nearly every row is a suspect by chance; the bytes decide
     assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs).collect()} == want
     assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
+    # Were a digest to stand for several texts, the texts would decide: with one digest for all, and with one for each first letter.
+    for digest in (lambda c: F.lit("same"), lambda c: F.substring(c, 1, 1)):
+        monkeypatch.setattr(exact_dedup, "DIGEST", digest)
+        rows = exact_dedup.exact_dedup(docs.unionByName(make(spark, (1, "another"), (1, "yes"))).repartition(3)).collect()
+        assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows} == want | {(1, 1, 1, True)} and len(rows) == 14
 
 
 # 8 -------------------------------------------------------------------------------------------------
