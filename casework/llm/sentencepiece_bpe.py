@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import release, slices
 
-#: Entries that a worker keeps of parts and of pairs, some 70 MB together; beyond them it forgets what it has not needed for long. Longer parts are not kept.
-CACHE_PARTS = 160_000
-CACHE_PAIRS = 160_000
+#: Entries that a worker keeps of parts and of pairs, some 240 MB together when full; beyond them it forgets what it has not needed for long. Longer parts are not kept.
+CACHE_PARTS = 600_000
+CACHE_PAIRS = 300_000
 CACHE_CHARS = 40
 META = "▁"  # stands for a space
 NO_SCORE = float("-inf")
