@@ -2,28 +2,44 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ids import ordered_digest
 from ..functions.text import media_type, safe_identifier, snake
 
 ZERO_HASH = "0" * 64
+_NO_STREAM = ("no stream yet",)  # no value of a column is a tuple
+
+
+def _in_order(rows: DataFrame, group: str, *by: str) -> DataFrame:
+    """The rows of each group in one partition, one group after the other, sorted."""
+    return rows.repartition(group).sortWithinPartitions(group, *by)
 
 
 def build_ledger(records: DataFrame, stream: str, order: str, record_hash: str) -> DataFrame:
-    """Chain the records of each stream: every entry's hash covers the one before. Hashing records is parallel; the chain itself is one fold over a stream's digests, so what must fit into a task is 64 bytes per entry of a single stream."""
-    listed = records.groupBy(stream).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("seq"), F.col(record_hash).alias("h")))).alias("entries"))
-    folded = F.aggregate(
-        "entries",
-        F.struct(F.lit(ZERO_HASH).alias("previous"), F.array().cast("array<string>").alias("hashes")),
-        lambda acc, e: F.struct(F.sha2(F.concat_ws("\n", acc["previous"], e["h"]), 256).alias("previous"), F.concat(acc["hashes"], F.array(F.sha2(F.concat_ws("\n", acc["previous"], e["h"]), 256))).alias("hashes")),
-        lambda acc: acc["hashes"],
-    )
-    rows = listed.select(stream, F.posexplode(F.arrays_zip(F.col("entries").alias("e"), folded.alias("hash"))).alias("sequence", "x"))
-    entry = Window.partitionBy(stream).orderBy("sequence")
-    rows = rows.select(stream, "sequence", F.col("x.e.seq").alias(order), F.col("x.e.h").alias("record_sha256"), F.col("x.hash").alias("ledger_sha256"))
-    return rows.withColumn("previous_sha256", F.coalesce(F.lag("ledger_sha256").over(entry), F.lit(ZERO_HASH)))
+    """Chain the records of each stream: every entry's hash covers the one before. Hashing records is parallel. The chain is a scan of the sorted stream that carries one hash from batch to batch, so a stream may have any number of entries."""
+    rows = records.select(F.col(stream).alias("stream"), F.col(order).alias("seq"), F.col(record_hash).alias("h"))
+    types = dict(rows.dtypes)
+
+    def run(batches):
+        last, previous, sequence = _NO_STREAM, ZERO_HASH, 0
+        for batch in batches:
+            places, befores, hashes = [], [], []
+            for group, h in zip(batch.column("stream").to_pylist(), batch.column("h").to_pylist()):
+                if group != last or last is _NO_STREAM:
+                    last, previous, sequence = group, ZERO_HASH, 0
+                befores.append(previous)
+                previous = hashlib.sha256((previous if h is None else f"{previous}\n{h}").encode()).hexdigest()
+                hashes.append(previous)
+                places.append(sequence)
+                sequence += 1
+            yield pa.record_batch({"stream": batch.column("stream"), "sequence": pa.array(places, pa.int32()), "seq": batch.column("seq"), "h": batch.column("h"), "previous": pa.array(befores, pa.string()), "ledger": pa.array(hashes, pa.string())})
+
+    chained = _in_order(rows, "stream", "seq", "h").mapInArrow(run, f"stream {types['stream']}, sequence int, seq {types['seq']}, h string, previous string, ledger string")
+    return chained.select(F.col("stream").alias(stream), "sequence", F.col("seq").alias(order), F.col("h").alias("record_sha256"), F.col("ledger").alias("ledger_sha256"), F.col("previous").alias("previous_sha256"))
 
 
 def verify_ledger(rebuilt: DataFrame, ledger: DataFrame, stream: str) -> DataFrame:
@@ -36,8 +52,32 @@ def verify_ledger(rebuilt: DataFrame, ledger: DataFrame, stream: str) -> DataFra
 
 
 def root_digest(entries: DataFrame, group: str, digest: str) -> DataFrame:
-    """Root over a group's digests in order."""
-    return entries.groupBy(group).agg(ordered_digest(F.sort_array(F.collect_list(digest))).alias("root_sha256"), F.count("*").alias("entries"))
+    """Root over a group's digests in order, each ended by a new line: a scan of the sorted group that carries the state of one hash. Null digests count as entries and add nothing."""
+    rows = entries.select(F.col(group).alias("group"), F.col(digest).alias("h"))
+
+    def run(batches):
+        last, state, count = _NO_STREAM, hashlib.sha256(), 0
+        for batch in batches:
+            done = []
+            for key, h in zip(batch.column("group").to_pylist(), batch.column("h").to_pylist()):
+                if key != last or last is _NO_STREAM:
+                    if last is not _NO_STREAM:
+                        done.append((last, state.hexdigest(), count))
+                    last, state, count = key, hashlib.sha256(), 0
+                if h is not None:
+                    state.update(h.encode() + b"\n")
+                count += 1
+            yield _roots(done, batch.schema.field("group").type)
+        if last is not _NO_STREAM:
+            yield _roots([(last, state.hexdigest(), count)], batch.schema.field("group").type)
+
+    found = _in_order(rows, "group", "h").mapInArrow(run, f"group {dict(rows.dtypes)['group']}, root_sha256 string, entries long")
+    return found.withColumnRenamed("group", group)
+
+
+def _roots(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * 3
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (kind, pa.string(), pa.int64()))], ["group", "root_sha256", "entries"])
 
 
 def file_manifest(spark, path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,16 +67,52 @@ def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def order_statistics(values: DataFrame, value: str, confidence: float = 0.95) -> DataFrame:
-    """Percentile interval from order statistics: floor below, ceiling above. The values are bootstrap replicates, as many as asked for."""
-    tail = (1 - confidence) / 2
-    listed = values.agg(F.sort_array(F.collect_list(value)).alias("v"), F.count(value).alias("n"))
-    low, high = F.floor(F.lit(tail) * (F.col("n") - 1)).cast("int"), F.ceil(F.lit(1 - tail) * (F.col("n") - 1)).cast("int")
-    return listed.select(F.element_at("v", low + 1).alias("low"), F.element_at("v", high + 1).alias("high"), "n")
+    """Percentile interval from order statistics: floor below, ceiling above."""
+    tail, n = (1 - confidence) / 2, values.filter(F.col(value).isNotNull()).count()
+    low, high = (nth_value(values, value, f(share * (n - 1))) if n else None for f, share in ((math.floor, tail), (math.ceil, 1 - tail)))
+    return values.sparkSession.createDataFrame([(low, high, n)], "low double, high double, n long")
+
+
+#: Ranges that a round of the search for an order statistic counts.
+RANGES = 4096
+
+
+def nth_value(values: DataFrame, value: str, rank: int) -> float | None:
+    """The value at ``rank`` (from 0) in ascending order, nulls left out and NaN last; none beyond the end.
+
+    Rounds of counts: the values between two bounds fall into ranges, the range that holds
+    the rank gives the next bounds, until it holds one value. A range is a row, so no task and
+    no driver ever holds the values.
+    """
+    v = F.col("v")
+    rows = values.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
+    first = rows.agg(F.count("*").alias("all"), F.count_if(~F.isnan(v)).alias("n"), F.min(F.when(~F.isnan(v), v)).alias("low"), F.max(F.when(~F.isnan(v), v)).alias("high")).first()
+    if not 0 <= rank < first["all"]:
+        return None
+    if rank >= first["n"]:
+        return float("nan")
+    low, high, rows = first["low"], first["high"], rows.filter(~F.isnan(v))
+    while low < high:
+        inside = rows.filter((v >= low) & (v <= high))
+        if math.isinf(low) or math.isinf(high):  # infinite values are ranges of their own
+            at = F.when(v == -math.inf, -1).when(v == math.inf, 1).otherwise(0)
+        else:  # halves, as the difference of two large values may be too large
+            at = F.least(F.lit(RANGES - 1), F.floor((v / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2) * RANGES)).cast("int") if high / 2 > low / 2 else F.when(v > low, 1).otherwise(0)
+        for r in sorted(inside.groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()):
+            if rank < r.n:
+                low, high = r.low, r.high
+                break
+            rank -= r.n
+    return low
 
 
 def quantile(values: DataFrame, value: str, p: float) -> DataFrame:
-    """Interpolated (type 7) quantile."""
-    return values.agg(F.percentile(value, F.lit(p)).alias("quantile"))
+    """Interpolated (type 7) quantile, from two order statistics; null without values."""
+    n = values.filter(F.col(value).isNotNull()).count()
+    at = (n - 1) * p
+    low, high = (nth_value(values, value, f(at)) if n else None for f in (math.floor, math.ceil))
+    found = low if low is None or low == high else low + (at - math.floor(at)) * (high - low)
+    return values.sparkSession.createDataFrame([(found,)], "quantile double")
 
 
 def bootstrap_agreement(rows: DataFrame, unit: str, a: str, b: str, replicates: int, seed: int, clusters: str | None = None) -> DataFrame:

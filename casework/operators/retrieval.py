@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import math
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import cosine, dot
 from ..functions.text import tokens
+from ..session import written
 
 K1, B = 1.5, 0.75
 
@@ -28,6 +34,111 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str
     return scored.withColumn("part", part).join(terms, "term").groupBy("query_id", key).agg(F.sum("part").alias("lexical_score"), F.array_sort(F.collect_set("term")).alias("matched_terms"))
 
 
+#: Terms of the queries that are searched together.
+QUERY_TERMS = 500_000
+
+
+class Postings:
+    """A block of chunks as lists by term: which chunks have it, what it adds to their scores, and the most that it adds to any."""
+
+    def __init__(self, lengths: np.ndarray, counts: np.ndarray, terms: np.ndarray, tf: np.ndarray, idf: np.ndarray, average: float):
+        chunk, self.size = np.repeat(np.arange(len(lengths)), counts), len(lengths)
+        norm = K1 * (1 - B + B * np.maximum(lengths, 1) / average)
+        impact = idf[terms] * tf * (K1 + 1) / (tf + norm[chunk])
+        order = np.lexsort((chunk, terms))
+        self.chunk, self.impact = chunk[order], impact[order]
+        self.begin = np.searchsorted(terms[order], np.arange(len(idf) + 1))
+        self.most = np.zeros(len(idf))
+        np.maximum.at(self.most, terms, impact)
+
+    def best(self, query: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Chunks that may reach the score ``least``, their scores, and how many terms they have.
+
+        The terms that add least are set aside as long as all of them together stay below
+        ``least``: a chunk that reaches it has one of the others. Only such chunks are scored.
+        """
+        query = query[self.begin[query] < self.begin[query + 1]]
+        query = query[np.argsort(self.most[query], kind="stable")]
+        if not len(query) or self.most[query].sum() < least:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        aside = int(np.searchsorted(np.cumsum(self.most[query]), least)) if least > 0 else 0
+        part = lambda t: slice(self.begin[t], self.begin[t + 1])
+        found = np.unique(np.concatenate([self.chunk[part(t)] for t in query[aside:]]))
+        score, matched = np.zeros(len(found)), np.zeros(len(found), np.int64)
+        for t in query:
+            there = self.chunk[part(t)]
+            at = np.searchsorted(there, found)
+            at[at == len(there)] = 0
+            has = there[at] == found
+            score[has] += self.impact[part(t)][at[has]]
+            matched += has
+        return found, score, matched
+
+
+def best_chunks(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", text: str = "text", digits: int = 6) -> DataFrame:
+    """The ``k`` best chunks of every query by :func:`bm25`: ``query_id, key, rank, lexical_score, terms`` (how many of the query's it has).
+
+    Ranked by the score rounded to ``digits``, then ``key``. A chunk without a common term is
+    none of them. Chunks are searched where they lie, block by block; a block's bounds rule
+    most of its chunks out before they are scored, and a task gives at most ``k`` rows for a
+    query. Queries go to the tasks in groups of at most ``QUERY_TERMS`` terms.
+    """
+    spark = chunks.sparkSession
+    listed = chunks.filter(F.col(text) != "").select(F.col(key).alias("key"), tokens(F.col(text)).alias("tokens"))
+    kind = dict(listed.dtypes)["key"]
+    terms = written(queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("terms")).filter(F.size("terms") > 0), "queries")
+    groups = math.ceil((terms.agg(F.sum(F.size("terms"))).first()[0] or 0) / QUERY_TERMS)
+    found = []
+    for group in range(groups):
+        some = terms.filter(F.pmod(F.xxhash64("query_id", "terms"), F.lit(groups)) == group).toArrow().sort_by("query_id")
+        wanted = pa.array(sorted(set(some.column("terms").combine_chunks().flatten().to_pylist())), pa.string())
+        asked = [pc.index_in(x.values, value_set=wanted).to_numpy() for x in some.column("terms")]
+        ids = some.column("query_id").combine_chunks()
+
+        def count(batches, wanted=wanted):
+            for batch in batches:
+                lists = batch.column("tokens")
+                lengths = np.diff(lists.offsets.to_numpy())
+                at = pc.index_in(lists.flatten(), value_set=wanted)
+                chunk, term = np.repeat(np.arange(len(lengths)), lengths), at.fill_null(-1).to_numpy()
+                pair, tf = np.unique(chunk[term >= 0].astype(np.int64) * len(wanted) + term[term >= 0], return_counts=True)
+                offsets = pa.array(np.searchsorted(pair, np.arange(len(lengths) + 1) * len(wanted)), pa.int32())
+                part = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32()))
+                yield pa.record_batch({"key": batch.column("key"), "length": pa.array(lengths, pa.int32()), "terms": part(pair % len(wanted)), "tf": part(tf)})
+
+        counted = written(listed.mapInArrow(count, f"key {kind}, length int, terms array<int>, tf array<int>"), "postings")
+        total = counted.agg(F.count("*").alias("n"), F.avg("length").alias("average")).first()
+        held = np.zeros(len(wanted))
+        for r in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row for each term of the queries
+            held[r.t] = r["count"]
+        idf = np.log1p((total.n - held + 0.5) / (held + 0.5))
+
+        def search(batches, asked=asked, ids=ids, idf=idf, average=total.average):
+            best: list[list[tuple]] = [[] for _ in asked]  # of each query (-rounded score, key, terms), in order
+            for batch in batches:
+                lists = batch.column("terms")
+                block = Postings(batch.column("length").to_numpy(), np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), batch.column("tf").flatten().to_numpy().astype(float), idf, average)
+                keys = batch.column("key").to_pylist()
+                for q, query in enumerate(asked):
+                    least = -best[q][-1][0] - 10.0**-digits if len(best[q]) == k else 0.0
+                    chunk, score, matched = block.best(query, least)
+                    score = np.round(score, digits)
+                    some = np.flatnonzero(score >= least)
+                    if len(some) > k:  # ties with the k-th stay for the order of their keys
+                        some = some[score[some] >= np.partition(score[some], -k)[-k]]
+                    if len(some):
+                        best[q] = sorted(best[q] + [(-s, keys[c], m) for s, c, m in zip(score[some].tolist(), chunk[some].tolist(), matched[some].tolist())])[:k]
+            rows = [(q, -s, key_, m) for q, listed_ in enumerate(best) for s, key_, m in listed_]
+            if rows:
+                q, s, found_keys, m = zip(*rows)
+                yield pa.record_batch({"query_id": ids.take(pa.array(q)), "key": pa.array(found_keys, batch.schema.field("key").type), "lexical_score": pa.array(s, pa.float64()), "terms": pa.array(m, pa.int32())})
+
+        found.append(counted.mapInArrow(search, f"query_id {dict(queries.dtypes)['query_id']}, key {kind}, lexical_score double, terms int"))
+    if not found:
+        return spark.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, {key} {kind}, rank int, lexical_score double, terms int")
+    return top_k(reduce(DataFrame.unionByName, found), k, "query_id", "lexical_score", "key").select("query_id", F.col("key").alias(key), "rank", "lexical_score", "terms")
+
+
 def top_k(scores: DataFrame, k: int, group: str, score: str, tie: str) -> DataFrame:
     """The k best rows of each group (that limit is the feature), ranked by unrounded score, then ``tie``."""
     order = Window.partitionBy(group).orderBy(F.desc(score), tie)

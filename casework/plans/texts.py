@@ -8,6 +8,7 @@ from ..functions import scores, text
 from ..functions.ids import content_id, fnv1a64
 from ..operators import governance, measures, requests, retrieval, review, texts
 from ..operators.events import certified_free
+from ..session import written
 from ..sources import tables as src
 from .process import EVENTS, PROFILES_SQL, profiles
 
@@ -76,8 +77,8 @@ def masks(spark, d):
 def bm25_search(spark, d):
     """The ten best chunks of every benchmark text."""
     queries = src.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    scored = retrieval.bm25(src.table(spark, d, "documents").filter("text IS NOT NULL"), queries, key="doc_id")
-    return retrieval.top_k(scored.withColumn("lexical_score", F.round("lexical_score", 6)), 10, "query_id", "lexical_score", "doc_id").select("query_id", "doc_id", "rank", F.round("lexical_score", 4).alias("lexical_score"), F.size("matched_terms").alias("terms"))
+    found = retrieval.best_chunks(src.table(spark, d, "documents").filter("text IS NOT NULL"), queries, 10, key="doc_id")
+    return found.select("query_id", "doc_id", "rank", F.round("lexical_score", 4).alias("lexical_score"), "terms")
 
 
 def blended_search(spark, d):
@@ -104,7 +105,7 @@ def rater_kappa(spark, d):
 
 
 def bootstrap_interval(spark, d):
-    rates = measures.bootstrap_agreement(src.table(spark, d, "labels"), "doc_id", "quality", "toxic", 200, 20260721)
+    rates = written(measures.bootstrap_agreement(src.table(spark, d, "labels"), "doc_id", "quality", "toxic", 200, 20260721), "rates")
     return measures.order_statistics(rates, "agreement").select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "n")
 
 
