@@ -144,8 +144,3 @@ def xes_lines(events: DataFrame) -> DataFrame:
     body = F.array_join(F.transform(listed, lambda e: e["line"]), "\n")
     grouped = events.groupBy("request_id").agg(body.alias("body"))
     return grouped.select("request_id", F.concat(F.lit('  <trace>\n    <string key="concept:name" value="'), esc(F.col("request_id")), F.lit('"/>\n'), F.col("body"), F.lit("\n  </trace>")).alias("trace"))
-
-
-def certified_free(events: DataFrame) -> DataFrame:
-    """Counts of events that carry a certificate although a machine made them; a stream of ours has none."""
-    return events.filter("certified").groupBy("event_type").agg(F.count("*").alias("n"))

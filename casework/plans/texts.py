@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text
 from ..functions.ids import content_id, fnv1a64
-from ..operators import governance, measures, requests, retrieval, review, texts
-from ..operators.events import certified_free
+from ..operators import gates, governance, measures, requests, retrieval, review, texts
 from ..session import written
 from ..sources import tables as src
 from .process import EVENTS, PROFILES_SQL, profiles
@@ -276,9 +275,12 @@ def context_packs(spark, d):
 
 
 def certification_invariant(spark, d):
-    """No operator certifies: of all events that operators make, those with a certificate. Always empty."""
-    made = requests.observed_events(profiles(spark, d)).select("event_type", F.lit(False).alias("certified")).unionByName(texts.message_events(src.messages(spark, d)).select("event_type", F.lit(False).alias("certified")))
-    return certified_free(made)
+    """No machine's certificate gets through the gate: by type, events that machines made, those of them that claim a certificate, and those that are passed on with one."""
+    made = src.core_events(spark, d).filter("machine_generated").withColumn("human_review_required", F.col("seq") % 4 == 0)
+    claims = (F.col("assertion_status") == "certified") | F.coalesce("human_certified", F.lit(False))
+    through = gates.passed(made).filter(claims).groupBy("event_type").agg(F.count("*").alias("certified_passed"))
+    seen = made.groupBy("event_type").agg(F.count("*").alias("made"), F.count_if(claims).alias("certified_seen"))
+    return seen.join(through, "event_type", "left").fillna(0)
 
 
 def text_buckets(spark, d):
@@ -369,6 +371,7 @@ SQL = {
         SELECT p.request_id, authority, normalised_state, coalesce(events, 0) AS events, coalesce(event_types, '') AS event_types, coalesce(last_event, '') AS last_event, coalesce(open_tasks, 0) AS open_tasks,
             concat_ws(',', CASE WHEN NOT coalesce(msg, false) THEN 'collect_messages' END, CASE WHEN tc > 0 THEN 'route_to_certifier' END, CASE WHEN open_tasks > 0 THEN 'review_open_tasks' END, CASE WHEN normalised_state = 'Received' THEN 'draft_search_plan' END) AS next_actions
         FROM profiles p LEFT JOIN e ON p.request_id = e.request_id""",
-    "certification_invariant": "SELECT 'x' AS event_type, CAST(0 AS BIGINT) AS n WHERE false",
+    "certification_invariant": f"""WITH {EVENTS} SELECT event_type, count(*) AS made, count(*) FILTER (WHERE assertion_status = 'certified' OR coalesce(human_certified, false)) AS certified_seen, CAST(0 AS BIGINT) AS certified_passed
+        FROM core_events WHERE machine_generated GROUP BY 1""",
     "record_seals": """SELECT n_nationkey, 'nation:' || left(sha256(n_name || chr(0) || n_regionkey), 24) AS content_id, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}') AS pin FROM nation""",
 }
