@@ -96,6 +96,47 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0 and decontaminate.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def least_edits(item: str, text: str) -> int:
+    """Edit distance of ``item`` to the part of ``text`` that is most like it, by dynamic programming."""
+    n = len(item)
+    at, want = np.arange(n + 1), np.array([ord(c) for c in item])
+    row, best = at, n
+    for c in text:
+        new = row + 1
+        new[0] = 0
+        new[1:] = np.minimum(new[1:], row[:-1] + (want != ord(c)))
+        row = np.minimum.accumulate(new - at) + at
+        best = min(best, int(row[n]))
+    return best
+
+
+def test_leaks_equal_dynamic_programming(spark):
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdéf") for _ in range(rnd.randint(1, 6)))
+    noise = lambda n: " ".join(word() for _ in range(n))
+    items = [noise(n) for n in (1, 2, 4, 8, 15, 25, 25, 40)]
+
+    def edited(text, edits):
+        text = list(text)
+        for _ in range(edits if len(text) > edits else 0):
+            at, how = rnd.randrange(len(text)), rnd.randrange(3)
+            text[at : at + (how > 0)] = [rnd.choice("abcdéfg ")] * (how < 2)
+        return "".join(text)
+
+    texts = [f"{noise(rnd.randint(0, 30))} {edited(rnd.choice(items), rnd.randint(0, 9))} {noise(rnd.randint(0, 30))}" for _ in range(120)]
+    texts += [noise(40) for _ in range(20)] + ["  " + items[4].upper() + "!!", items[5] + items[6], f"{items[3]} {items[3]}", "", None] + [texts[0]] * 2
+    norm = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
+    want = collections.Counter()
+    for i, t in enumerate(texts):
+        for j, item in enumerate(map(norm, items)):
+            d = least_edits(f" {item} ", f" {norm(t)} ") if norm(t) else 99
+            if d <= len(item) * 5 // 100:
+                want[i, j, d] += 1
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = collections.Counter((r.doc_id, r.item_id, r.distance) for r in decontaminate.find_leaks(make(spark, *enumerate(texts)), bench).collect())
+    assert got == want and sum(1 for _, _, d in want if d > 0) > 10
+
+
 # 3 -------------------------------------------------------------------------------------------------
 def test_secret_spans_equal_python(spark):
     opaque = "Ab1" * 12
@@ -298,6 +339,36 @@ def test_recall_of_edited_passages(edited_passages):
     assert sum(v for k, v in edited_passages.items() if least[k]) >= 0.95 * sum(1 for x in least.values() if x)
 
 
+@pytest.fixture(scope="module")
+def crowded_passages(spark):
+    """Share of 20 pairs found, by words of a passage, distance of the changed words, and number of documents on either side that hold 30 words of it."""
+    rnd = random.Random(1)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    noise = lambda n: [word() for _ in range(n)]
+    ids, docs, pairs = list(range(1, 400_000)), [], collections.defaultdict(list)
+    rnd.shuffle(ids)
+    for size in (60, 100):
+        for distance in (8, 10, 15):
+            for crowd in (0, 1, 5, 20):
+                for _ in range(20):
+                    p = noise(size)
+                    q = [word() if i % distance == distance - 1 else w for i, w in enumerate(p)]
+                    a, b = ids.pop(), ids.pop()
+                    pairs[size, distance, crowd].append(frozenset((a, b)))
+                    docs += [(a, " ".join(noise(60) + p + noise(60))), (b, " ".join(noise(60) + q + noise(60)))]
+                    for text in (p, q) * crowd:
+                        at = rnd.randrange(size - 29)
+                        docs.append((ids.pop(), " ".join(noise(40) + text[at : at + 30] + noise(40))))
+    rnd.shuffle(docs)
+    found = {frozenset((r.doc_id, r.other_id)) for r in chaining.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect()}
+    return {k: sum(p in found for p in v) / len(v) for k, v in pairs.items()}
+
+
+def test_recall_among_documents_with_pieces(crowded_passages):
+    print(crowded_passages)
+    assert len(crowded_passages) == 24 and not {k: v for k, v in crowded_passages.items() if v < 0.9}
+
+
 # 7 -------------------------------------------------------------------------------------------------
 def test_rice_codes_round_trip():
     rnd = np.random.default_rng(1)
