@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import tasks
+from ..operators import governed, measures, tasks
 from ..sources import tables as src
 from .audits import _artifacts
 from .process import EVENTS, PROFILES_SQL, profiles
+from .texts import _ANN, _annotators
 
 
 def _risks(spark, d) -> DataFrame:
@@ -114,3 +115,50 @@ SQL = {
             concat_ws(',', CASE WHEN g % 11 = 0 THEN 'core_digest_mismatch' END, CASE WHEN g % 7 = 0 THEN 'core_version_mismatch' END, CASE WHEN bad THEN 'section_not_overridable' END) AS codes FROM o""",
     "embedding_provenance": f"WITH {src.CHUNKS_SQL.strip()} SELECT DISTINCT chunk_id, sha256(text) AS text_sha256, 'local' AS provider, 64 AS dimensions, 64 AS size, CAST(1 AS BIGINT) AS vectors FROM chunks",
 }
+
+
+def sealed_envelopes(spark, d):
+    """Orders as sealed documents, some changed, stripped of their pin or broken since."""
+    k = F.col("o_orderkey")
+    body = F.to_json(F.struct(F.col("o_orderstatus").alias("z"), F.struct(k.alias("order"), F.lit("é\"").alias("a")).alias("nested"), F.array(k, F.lit(2)).alias("b")))
+    docs = src.table(spark, d, "orders").select(k.alias("order_id"), F.concat(F.lit(" "), body).alias("text"))
+    sealed = governed.seal_documents(docs, "order_id", "text", "pin")
+    later = F.when(F.col("order_id") % 11 == 0, F.replace("sealed", F.lit('"order"'), F.lit('"Order"'))).when(F.col("order_id") % 13 == 0, F.regexp_replace("sealed", ',"pin":"[0-9a-f]*"', "")).when(F.col("order_id") % 17 == 0, F.lit("[]")).otherwise(F.regexp_replace("sealed", ",", " , "))
+    return governed.seal_problems(sealed.select("order_id", later.alias("sealed")), "order_id", "sealed", "pin")
+
+
+def candidate_frame(spark, d):
+    k = F.col("page_id")
+    pages = src.table(spark, d, "pages").select(k, F.concat(F.lit("s"), k).alias("slug"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("raw_sha256"), "url")
+    replay = pages.filter(k % 7 > 0).select("slug", F.when(k % 5 == 0, "x").otherwise(F.col("raw_sha256")).alias("raw_sha256"), F.when(k % 3 > 0, F.col("url")).otherwise(" ").alias("text"))
+    return governed.candidate_frame(pages, replay)
+
+
+def queue_accounting(spark, d):
+    left, right = _annotators(spark, d)
+    apart = measures.disagreements(left, right).select("unit_id")
+    decisions = apart.filter("unit_id % 4 > 0").unionByName(apart.filter("unit_id % 8 = 1")).unionByName(left.join(apart, "unit_id", "left_anti").filter("unit_id % 5 = 0").select("unit_id"))
+    return governed.queue_accounting(left, right, decisions)
+
+
+def mapping_problems(spark, d):
+    k = F.col("c_custkey")
+    sources = src.table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("source_id"))
+    rows = src.table(spark, d, "customer").select(
+        k.cast("string").alias("reference_id"), F.when(k % 9 > 0, F.concat(F.lit("n"), F.col("c_nationkey") + F.when(k % 10 == 0, 100).otherwise(0))).alias("source_id"), F.when(k % 4 == 0, "verified").when(k % 4 == 1, "odd").otherwise("stale").alias("status"),
+        F.when(k % 5 == 0, " ").otherwise("statute").alias("basis"), F.when(k % 6 == 0, "soon").otherwise("2026-01-02T03:04:05Z").alias("retrieved_at"),
+    )
+    return governed.mapping_problems(rows, sources)
+
+
+QUERIES |= {f.__name__: f for f in (sealed_envelopes, candidate_frame, queue_accounting, mapping_problems)}
+SQL |= {
+    "sealed_envelopes": """SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 11 = 0 THEN 'pin_mismatch' WHEN o_orderkey % 13 = 0 THEN 'pin_missing' ELSE 'not_an_object' END AS code FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 OR o_orderkey % 17 = 0""",
+    "candidate_frame": """SELECT 's' || page_id AS slug, CASE WHEN page_id % 7 = 0 THEN 'not_replayed' WHEN page_id % 5 = 0 THEN 'digest_mismatch' WHEN page_id % 3 = 0 OR trim(coalesce(url, '')) = '' THEN 'no_text' ELSE 'accessible' END AS access,
+        CASE WHEN page_id % 7 > 0 AND page_id % 5 > 0 AND page_id % 3 > 0 AND trim(coalesce(url, '')) <> '' THEN sha256(url) END AS text_sha256 FROM pages""",
+    "queue_accounting": f"""WITH {_ANN.strip()}, u AS (SELECT unit_id, la IS DISTINCT FROM lb OR ra IS DISTINCT FROM rb OR sa <> sb AS apart FROM ann),
+        c AS (SELECT count(*) FILTER (WHERE apart) AS disagreements, count(*) FILTER (WHERE apart AND unit_id % 4 > 0) AS decided, count(*) FILTER (WHERE apart AND unit_id % 4 = 0) AS undecided, count(*) FILTER (WHERE NOT apart AND unit_id % 5 = 0) AS unasked, count(*) FILTER (WHERE apart AND unit_id % 8 = 1) AS repeated FROM u)
+        SELECT *, undecided = 0 AND unasked = 0 AND repeated = 0 AS ok FROM c""",
+    "mapping_problems": """WITH c AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS reference_id FROM customer), v AS (SELECT reference_id, 'missing_source_id' AS code FROM c WHERE k % 9 = 0 UNION ALL SELECT reference_id, 'missing_basis' FROM c WHERE k % 5 = 0
+        UNION ALL SELECT reference_id, 'status_not_registered' FROM c WHERE k % 4 = 1 UNION ALL SELECT reference_id, 'unreadable_time' FROM c WHERE k % 6 = 0 UNION ALL SELECT reference_id, 'unknown_source' FROM c WHERE k % 10 = 0 AND k % 9 > 0) SELECT * FROM v""",
+}

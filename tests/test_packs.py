@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import functions as F
 
-from casework.operators import tasks
+from casework.operators import governed, tasks
 
 from .test_semantics import rows
 
@@ -68,3 +69,30 @@ def test_embeddings_say_where_they_come_from(spark):
     r = tasks.embedding_records(spark.createDataFrame([("c", "some words")], "chunk_id string, text string"), 16, reachable=False).withColumn("n", F.size("embedding")).first()
     assert r.n == 16 and r.provenance.asDict() == {"provider": "local", "model": "feature-hash", "dimensions": 16, "available": False, "deterministic": True}
     assert r.text_sha256 == hashlib.sha256(b"some words").hexdigest() and len(r.vector_sha256) == 64
+
+
+def test_seals_leave_out_their_own_field(spark):
+    texts = {1: '{"b": [1, {"z": 2, "a": "é\\"x"}], "a": null, "pin": "old"}', 2: "{}", 3: "[1]", 4: "nope", 5: None, 6: '{"pin": 1}', 7: '{"a\\"b": "{", "A": true}'}
+    docs = spark.createDataFrame(list(texts.items()), "id int, text string")
+    got = {r.id: r.digest for r in governed.canonical_digest(docs, "id", "text", "pin").collect()}
+    for i, t in texts.items():
+        whole = json.loads(t) if t and i != 4 else None
+        want = None
+        if isinstance(whole, dict):
+            whole.pop("pin", None)
+            want = hashlib.sha256(json.dumps(whole, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+        assert got[i] == want, i
+    sealed = governed.seal_documents(docs.filter("id IN (2, 7)"), "id", "text", "seal")
+    assert governed.seal_problems(sealed, "id", "sealed", "seal").count() == 0
+    assert rows(governed.seal_problems(docs.filter("id IN (1, 2, 3, 5)"), "id", "text", "pin")) == [(1, "pin_mismatch"), (2, "pin_missing"), (3, "not_an_object"), (5, "not_an_object")]
+
+
+def test_frames_and_accounts(spark):
+    candidates = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None), ("d", "4")], "slug string, raw_sha256 string")
+    replay = spark.createDataFrame([("a", "1", "text"), ("b", "3", "t"), ("c", None, " ")], "slug string, raw_sha256 string, text string")
+    assert rows(governed.candidate_frame(candidates, replay), "slug", "access") == [("a", "accessible"), ("b", "digest_mismatch"), ("c", "no_text"), ("d", "not_replayed")]
+    side = lambda *xs: spark.createDataFrame([(u, label, None, []) for u, label in xs], "unit_id string, label string, abstention_reason string, spans array<int>")
+    decided = spark.createDataFrame([("a",), ("z",), ("a",)], "unit_id string")
+    r = governed.queue_accounting(side(("a", "x"), ("b", "x"), ("c", "x")), side(("a", "y"), ("b", "y"), ("c", "x")), decided).first()
+    assert tuple(r) == (2, 1, 1, 1, 1, False)
+    assert governed.queue_accounting(side(("a", "x")), side(("a", "x")), decided.limit(0)).first().ok
