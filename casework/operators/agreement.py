@@ -2,8 +2,8 @@
 
 Units, or whole clusters of them, are drawn again as often as there are. What a measure needs
 of a unit is the cell it falls into (both labels, and whether the spans agree), so draws are
-joined with the units' cells and counted: a replicate is a handful of rows, however many
-units there are.
+counted by the units' cells, range by range of the units: a replicate is a handful of rows,
+however many units there are.
 """
 
 from __future__ import annotations
@@ -15,16 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import written
-from .drawing import bootstrap_draws, numbered
+from .drawing import drawn_sums, numbered
 
 MEASURES = ["raw_label", "cohen_kappa", "all_unit_exact_span", "exact_span", "abstention"]
 
 
 def cells(left: DataFrame, right: DataFrame, unit: str = "unit_id", cluster: DataFrame | None = None) -> DataFrame:
-    """``unit, entity, a, b, same_spans``: one row for a unit that both have. ``cluster`` (``unit, cluster_id``) names what is drawn as a whole; else a unit is drawn alone."""
+    """``unit, entity, a, b, same_spans``: one row for a unit that both have. Tables of units are never broadcast, however small their files. ``cluster`` (``unit, cluster_id``) names what is drawn as a whole; else a unit is drawn alone."""
     r = right.select(unit, F.col("label").alias("b"), F.col("spans").alias("_s"))
-    rows = left.select(unit, F.col("label").alias("a"), "spans").join(r, unit).withColumn("same_spans", F.col("spans").eqNullSafe(F.col("_s"))).drop("spans", "_s")
-    rows = rows.join(cluster.select(unit, F.col("cluster_id").alias("entity")), unit) if cluster is not None else rows.withColumn("entity", F.col(unit))
+    rows = left.select(unit, F.col("label").alias("a"), "spans").join(r.hint("merge"), unit).withColumn("same_spans", F.col("spans").eqNullSafe(F.col("_s"))).drop("spans", "_s")
+    rows = rows.join(cluster.select(unit, F.col("cluster_id").alias("entity")).hint("merge"), unit) if cluster is not None else rows.withColumn("entity", F.col(unit))
     return rows.select(unit, "entity", "a", "b", "same_spans")
 
 
@@ -68,10 +68,9 @@ def measured(counted: DataFrame, by: list[str], rule: str = "registered") -> Dat
 def replicates_of(rows: DataFrame, seed: int, replicates: int, rule: str = "registered") -> DataFrame:
     """The measures of each bootstrap replicate of ``cells``: entities in the order of their names are drawn as Python's generator draws them."""
     entities = numbered(rows.select("entity").distinct(), ["entity"])
-    weights = rows.groupBy("entity", "a", "b", "same_spans").agg(F.count("*").alias("units")).join(entities, "entity")
-    weights = written(weights.select("number", "a", "b", "same_spans", "units"), "cells")
-    drawn = bootstrap_draws(rows.sparkSession, seed, entities.count(), replicates)
-    counted = drawn.join(weights, "number").groupBy("replicate", "a", "b", "same_spans").agg(F.sum(F.col("times") * F.col("units")).alias("n"))
+    weights = rows.groupBy("entity", "a", "b", "same_spans").agg(F.count("*").alias("n")).join(entities.hint("merge"), "entity")
+    weights = written(weights.select("number", "a", "b", "same_spans", "n"), "cells")
+    counted = drawn_sums(weights, seed, entities.count(), replicates, ["a", "b", "same_spans"], ["n"])
     return measured(written(counted, "replicates"), ["replicate"], rule)
 
 

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import written
@@ -93,6 +94,50 @@ def bootstrap_draws(spark: SparkSession, seed: int, size: int, replicates: int)
     return states.repartition(min(replicates, 4096), "replicate").mapInArrow(run, "replicate int, number long, times long")
 
 
+#: Draws that one task holds of a range of numbers, two bytes each; a range has at most 65,536 numbers.
+RANGE_DRAWS = 1 << 24
+
+
+def drawn_sums(rows: DataFrame, seed: int, size: int, replicates: int, by: list[str], counts: list[str]) -> DataFrame:
+    """``replicate, by, counts``: what the draws of each replicate sum up to. ``rows`` has ``number``, from 0 to below ``size``, and may have several rows for one.
+
+    Draws go to the task of their range of numbers as two bytes each, where the rows of that
+    range are: neither the rows nor the draws are ever together in one place.
+    """
+    width = max(256, min(1 << 16, RANGE_DRAWS // replicates))
+
+    def deal(batches):
+        for batch in batches:
+            for replicate, state in zip(*(batch.column(c).to_pylist() for c in ("replicate", "state"))):
+                for block in Stream(state=state).below(size, size):
+                    block.sort()
+                    at, first = np.unique(block // width, return_index=True)
+                    places = [p.astype(np.uint16).tobytes() for p in np.split(block % width, first[1:])]
+                    yield pa.record_batch({"replicate": pa.array(np.full(len(at), replicate), pa.int32()), "range": pa.array(at), "places": pa.array(places, pa.binary())})
+
+    kinds = T.StructType([T.StructField("replicate", T.IntegerType()), *(rows.schema[c] for c in by), *(T.StructField(c, T.LongType()) for c in counts)])
+
+    def add(draws: pa.Table, own: pa.Table) -> pa.Table:
+        held = own.to_pandas()
+        cell = held.groupby(by, dropna=False, sort=False).ngroup().to_numpy() if by else np.zeros(len(held), np.int64)
+        _, first = np.unique(cell, return_index=True)
+        place, worth = held["number"].to_numpy() % width, [held[c].to_numpy() for c in counts]
+        times: dict[int, np.ndarray] = {}
+        for replicate, places in zip(draws.column("replicate").to_pylist(), draws.column("places").to_pylist()):
+            n = np.bincount(np.frombuffer(places, np.uint16), minlength=width)
+            times[replicate] = times[replicate] + n if replicate in times else n
+        sums = [[np.bincount(cell, weights=n[place] * w).round().astype(np.int64) for n in times.values()] for w in worth] if len(held) else [[] for _ in worth]
+        some = own.select(by).take(pa.array(np.tile(first, len(times) if len(held) else 0)))
+        columns = {"replicate": pa.array(np.repeat(list(times), len(first)), pa.int32()), **{c: some.column(c) for c in by}}
+        return pa.table(columns | {c: pa.array(np.concatenate(s) if s else [], pa.int64()) for c, s in zip(counts, sums)})
+
+    states = written(replicate_states(rows.sparkSession, seed, size, replicates), "states")
+    draws = states.repartition(min(replicates, 4096), "replicate").mapInArrow(deal, "replicate int, range long, places binary")
+    own = rows.select("number", *by, *(F.col(c).cast("long").alias(c) for c in counts)).withColumn("range", F.floor(F.col("number") / width))
+    found = draws.groupBy("range").cogroup(own.groupBy("range")).applyInArrow(add, kinds)
+    return found.groupBy("replicate", *by).agg(*(F.sum(c).alias(c) for c in counts))
+
+
 def generator_sample(units: DataFrame, by: list[str], size: int, seed: int) -> DataFrame:
     """The units that ``random.Random(seed).sample`` takes from their list in the order of ``by``, with the probability of being taken and the weight. A task holds the ``size`` places, never the units."""
     rows = numbered(units, by, "_number")

@@ -283,6 +283,18 @@ def test_bootstrap_draws_in_tasks_as_the_driver_did(spark):
         assert math.isclose(got[r], sum(x[1] == x[2] for x in drawn) / len(drawn))
 
 
+def test_draws_are_summed_range_by_range(spark, monkeypatch):
+    monkeypatch.setattr(drawing, "RANGE_DRAWS", 1)
+    rows = [(f"{i:04}", "x" if i % 3 else None, "x" if i % 5 else "y", i % 7 == 0, 1 + i % 2) for i in range(1000)]
+    cells = [(r[0], *r[1:4]) for r in rows for _ in range(r[4])]
+    got = agreement.replicates_of(spark.createDataFrame(cells, "entity string, a string, b string, same_spans boolean"), 5, 4)
+    rng, want = random.Random(5), {}
+    for replicate in range(4):
+        drawn = [rows[rng.randrange(1000)] for _ in rows]
+        want[replicate] = sum(r[4] for r in drawn if r[1] == r[2]), sum(r[4] for r in drawn)
+    assert {r.replicate: (r.numerator, r.denominator) for r in got.filter("measure = 'raw_label'").collect()} == want
+
+
 def test_clusters_are_drawn_whole(spark):
     units = spark.createDataFrame([(i, f"c{i % 5}") for i in range(20)], "u long, c string")
     drawn = drawing.sample_entities(units, "u", "c", 2, 3)
