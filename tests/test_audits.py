@@ -295,6 +295,11 @@ def test_draws_are_summed_range_by_range(spark, monkeypatch):
     assert {r.replicate: (r.numerator, r.denominator) for r in got.filter("measure = 'raw_label'").collect()} == want
 
 
+def test_draws_are_never_broadcast(spark):
+    rows = spark.range(100).select("id", (F.col("id") % 2).alias("a"), (F.col("id") % 3).alias("b"))
+    assert "Broadcast" not in measures.bootstrap_agreement(rows, "id", "a", "b", 5, 1)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_clusters_are_drawn_whole(spark):
     units = spark.createDataFrame([(i, f"c{i % 5}") for i in range(20)], "u long, c string")
     drawn = drawing.sample_entities(units, "u", "c", 2, 3)
