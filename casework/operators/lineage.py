@@ -7,6 +7,8 @@ and end when nothing is added. Every round's pairs are written, so none is compu
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,44 +55,79 @@ def acyclic(links: DataFrame) -> bool:
 def follow(links: DataFrame) -> DataFrame:
     """``node, last, hops`` for every node with a successor (``node, next``, one for a node): where the way along successors ends. ``last`` is null where it never does.
 
-    Each round every node jumps from where it has come to where that one has come, so the
-    rounds are logarithmic and each reads a row per node. A way longer than there are nodes
-    is a circle.
+    Each round every node whose end isn't known jumps from where it has come to where that
+    one has come, so the rounds are logarithmic in the longest way and circle. ``low`` is the
+    least node that a way has passed: a node that is its own has come round in a circle, and
+    so has every node that has passed it. Nodes that are done are only looked up.
     """
-    state = written(links.filter("node IS NOT NULL AND next IS NOT NULL").select("node", F.col("next").alias("last"), F.lit(1).cast("long").alias("hops")), "follow")
-    nodes, span = state.count(), 1
-    while span <= nodes:
-        on = state.select(F.col("node").alias("last"), F.col("last").alias("further"), F.col("hops").alias("more"))
-        moved = state.join(on, "last", "left").select("node", F.coalesce("further", "last").alias("last"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("further").isNotNull().alias("moved"))
-        moved, span = written(moved, "follow"), 2 * span
-        if moved.filter("moved").isEmpty():
-            break
-        state = moved.drop("moved")
-    ended = state.join(state.select(F.col("node").alias("last"), F.lit(True).alias("open")), "last", "left")
-    return ended.select("node", F.when(F.col("open").isNull(), F.col("last")).alias("last"), F.when(F.col("open").isNull(), F.col("hops")).alias("hops"))
+    columns = ["node", "last", "hops", "low"]
+    state = links.filter("node IS NOT NULL AND next IS NOT NULL").select("node", F.col("next").alias("last"), F.lit(1).cast("long").alias("hops"), F.col("next").alias("low"))
+    state, done = written(state, "follow"), []
+    while not state.isEmpty():
+        table = reduce(DataFrame.unionByName, [d.withColumn("over", F.lit(True)) for d in done], state.withColumn("over", F.lit(False)))
+        on = table.select(F.col("node").alias("last"), F.col("last").alias("further"), F.col("hops").alias("more"), F.col("low").alias("lower"), "over")
+        ended, hops = F.col("over").isNull(), F.col("hops") + F.col("more")
+        moved = state.join(on.hint("merge"), "last", "left").select(
+            "node", F.when(ended, F.col("last")).otherwise(F.col("further")).alias("last"), F.when(ended, F.col("hops")).otherwise(hops).alias("hops"), F.least("low", "lower").alias("low"), F.coalesce("over", F.lit(True)).alias("over")
+        )
+        moved = written(moved, "follow")
+        done.append(moved.filter("over").select(columns))
+        state = moved.filter("NOT over").select(columns)
+        circles = state.filter("node = low").select("low")
+        if not circles.isEmpty():
+            told = written(state.join(circles.withColumn("circle", F.lit(True)).hint("merge"), "low", "left"), "follow")
+            done.append(told.filter("circle").select("node", F.lit(None).cast(told.schema["last"].dataType).alias("last"), F.lit(None).cast("long").alias("hops"), "low"))
+            state = told.filter("circle IS NULL").select(columns)
+    return reduce(DataFrame.unionByName, done, state).select("node", "last", "hops")
 
 
 def pin_status(artifacts: DataFrame, pins: DataFrame) -> DataFrame:
     """Every pin (``id, pinned_id, pinned_sha256``) against the artifacts (``id, sha256``): ``ok``, ``missing`` or ``digest_mismatch``."""
     there = artifacts.select(F.col("id").alias("pinned_id"), F.col("sha256").alias("found"), F.lit(True).alias("there")).dropDuplicates(["pinned_id"])
     status = F.when(F.col("there").isNull(), "missing").when(F.col("found").eqNullSafe(F.col("pinned_sha256")), "ok").otherwise("digest_mismatch")
-    return pins.join(there, "pinned_id", "left").select("id", "pinned_id", status.alias("status"))
+    return pins.join(there.hint("merge"), "pinned_id", "left").select("id", "pinned_id", status.alias("status"))
+
+
+def nearest_broken(steps: DataFrame, broken: DataFrame) -> DataFrame:
+    """``id, steps`` for every ``id`` with steps (``id, target``) from which one of the ``broken`` ids is reached, with the fewest steps. Broken ids should have no steps.
+
+    Nodes with one step are followed to their ends at once, so only those with several are
+    left: these learn of a nearer broken one in rounds, each of which reads their steps.
+    """
+    own = written(steps.filter("id IS NOT NULL AND target IS NOT NULL").groupBy("id").agg(F.collect_set("target").alias("targets")), "steps")
+    ends = written(follow(own.filter(F.size("targets") == 1).select(F.col("id").alias("node"), F.col("targets")[0].alias("next"))).filter("last IS NOT NULL"), "ends")
+    fork = own.filter(F.size("targets") > 1).select("id", F.explode("targets").alias("target"))
+    to = ends.select(F.col("node").alias("target"), "last", "hops").hint("merge")
+    fork = written(fork.join(to, "target", "left").select("id", F.coalesce("last", "target").alias("target"), (1 + F.coalesce("hops", F.lit(0))).alias("far")), "forks")
+    fresh = broken.filter("id IS NOT NULL").distinct().select(F.col("id").alias("target"), F.lit(0).cast("long").alias("steps"))
+    known = fresh = written(fresh, "known")
+    while not fork.isEmpty():
+        near = fork.join(fresh.hint("merge"), "target").groupBy(F.col("id").alias("target")).agg(F.min(F.col("far") + F.col("steps")).alias("steps"))
+        before = known.select("target", F.col("steps").alias("before")).hint("merge")
+        fresh = written(near.join(before, "target", "left").filter("before IS NULL OR steps < before").select("target", "steps"), "nearer")
+        if fresh.isEmpty():
+            break
+        known = written(known.unionByName(fresh).groupBy("target").agg(F.min("steps").alias("steps")), "known")
+    found = ends.join(known.select(F.col("target").alias("last"), "steps").hint("merge"), "last").select(F.col("node").alias("id"), (F.col("hops") + F.col("steps")).alias("steps"))
+    return found.unionByName(known.filter("steps > 0").select(F.col("target").alias("id"), "steps"))
 
 
 def pin_chains(artifacts: DataFrame, pins: DataFrame) -> DataFrame:
     """Per artifact: its broken pins, and through how many pins the nearest broken one is reached (0: its own; null: none). A chain holds only as far as all pins below it do."""
-    checked = written(pin_status(artifacts, pins), "pins")
-    own = checked.groupBy("id").agg(F.count_if(F.col("status") != "ok").alias("broken"), F.array_sort(F.collect_set(F.when(F.col("status") != "ok", F.col("status")))).alias("codes"))
-    bad = own.filter("broken > 0").select(F.col("id").alias("target"))
-    ways = reachable(checked.filter("status <> 'missing'").select(F.col("id").alias("source"), F.col("pinned_id").alias("target")))
-    below = ways.join(bad, "target", "left_semi").groupBy(F.col("source").alias("id")).agg(F.min("steps").alias("steps"))
-    rows = artifacts.select("id").distinct().join(own, "id", "left").join(below, "id", "left")
+    checked = pin_status(artifacts, pins)
+    bad = F.col("status") != "ok"
+    own = written(checked.groupBy("id").agg(F.count_if(bad).alias("broken"), F.array_sort(F.collect_set(F.when(bad, F.col("status")))).alias("codes"), F.collect_set("pinned_id").alias("targets")), "pins")
+    # A way to the nearest broken pin goes through artifacts whose own pins all hold.
+    below = nearest_broken(own.filter("broken = 0").select("id", F.explode("targets").alias("target")), own.filter("broken > 0").select("id"))
+    rows = artifacts.select("id").distinct().join(own.drop("targets").hint("merge"), "id", "left").join(below.hint("merge"), "id", "left")
     broken = F.coalesce("broken", F.lit(0))
     return rows.select("id", broken.alias("broken"), F.coalesce("codes", F.array().cast("array<string>")).alias("codes"), F.when(broken > 0, 0).otherwise(F.col("steps")).cast("long").alias("distance"))
 
 
 def lifecycle_audit(lifecycle: DataFrame, current: DataFrame) -> DataFrame:
     """``id, code`` for every broken rule of an evidence lifecycle (``id, disposition, superseded_by, reason``) and the ``current`` ids: duplicate ids, dispositions that don't go with target and reason, targets that are missing or lead round in a circle, current evidence that isn't active."""
+    lifecycle = written(lifecycle.select("id", "disposition", "superseded_by", "reason"), "lifecycle")
+    each = written(lifecycle.groupBy("id").agg(F.count("*").alias("count"), F.min("superseded_by").alias("next"), F.coalesce(F.bool_or(F.col("disposition") == "active"), F.lit(False)).alias("active")), "ids")
     said = F.coalesce(F.trim("reason"), F.lit("")) != ""
     to, kind = F.col("superseded_by").isNotNull(), F.col("disposition")
     codes = F.array_compact(
@@ -102,13 +139,12 @@ def lifecycle_audit(lifecycle: DataFrame, current: DataFrame) -> DataFrame:
         )
     )
     own = lifecycle.select("id", F.explode(codes).alias("code"))
-    twice = lifecycle.groupBy("id").count().filter("count > 1").select("id", F.lit("duplicate_id").alias("code"))
-    ids = lifecycle.select("id").distinct()
-    lost = lifecycle.filter(to).select("id", F.col("superseded_by").alias("next")).join(ids.select(F.col("id").alias("next")), "next", "left_anti").select("id", F.lit("target_missing").alias("code"))
-    ways = follow(lifecycle.filter(to).groupBy(F.col("id").alias("node")).agg(F.min("superseded_by").alias("next")))
+    twice = each.filter("count > 1").select("id", F.lit("duplicate_id").alias("code"))
+    ids = each.select(F.col("id").alias("next")).hint("merge")
+    lost = lifecycle.filter(to).select("id", F.col("superseded_by").alias("next")).join(ids, "next", "left_anti").select("id", F.lit("target_missing").alias("code"))
+    ways = follow(each.select(F.col("id").alias("node"), "next"))
     round_ = ways.filter("last IS NULL").select(F.col("node").alias("id"), F.lit("supersession_circle").alias("code"))
-    active = lifecycle.filter("disposition = 'active'").select("id")
-    stale = current.select("id").distinct().join(active, "id", "left_anti").select("id", F.lit("current_not_active").alias("code"))
+    stale = current.select("id").distinct().join(each.filter("active").select("id").hint("merge"), "id", "left_anti").select("id", F.lit("current_not_active").alias("code"))
     return own.unionByName(twice).unionByName(lost).unionByName(round_).unionByName(stale)
 
 

@@ -60,7 +60,7 @@ def lineage_edges(spark, d):
 def _successions(spark, d) -> DataFrame:
     """Each order with the next one of its customer."""
     after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    return src.table(spark, d, "orders").select("o_orderkey", "o_custkey", after.alias("next"))
+    return src.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", after.alias("next"))
 
 
 def lineage_reach(spark, d):
@@ -84,7 +84,7 @@ def pin_chains(spark, d):
 def lifecycle_audit(spark, d):
     k, to = F.col("o_orderkey"), F.col("next")
     first = F.first("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = _successions(spark, d).join(src.table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey").withColumn("first", first)
+    rows = _successions(spark, d).withColumn("first", first)
     target = F.when((F.col("o_custkey") % 40 == 0) & to.isNull() & (F.col("first") != k), F.col("first")).when(k % 103 == 0, -k - 1).otherwise(to)
     rows = rows.select(k.alias("id"), target.alias("superseded_by"), F.when(target.isNotNull(), "superseded").when(k % 7 == 0, "invalidated").otherwise("active").alias("disposition"), k.alias("k"))
     rows = rows.withColumn("reason", F.when((F.col("disposition") != "active") & (F.col("k") % 17 > 0), "replaced")).drop("k")

@@ -104,6 +104,25 @@ def test_a_chain_of_a_thousand(spark):
     assert got.pop("a") == "b" and len(got) == 1001 and set(got.values()) == {None}
 
 
+def test_the_nearest_broken_pin_behind_forks_and_circles(spark):
+    rng = random.Random(3)
+    steps = {(a, rng.randrange(60)) for a in range(60) for _ in range(rng.choice([0, 1, 1, 1, 2]))} | {(100 + i, 100 + (i + 1) % 7) for i in range(7)} | {(200, 103), (300, 300)}
+    broken = {rng.randrange(60) for _ in range(3)} | {999}
+    steps = {(a, b) for a, b in steps if a not in broken}
+    want, near, n = {}, set(broken), 0
+    while near:
+        n, near = n + 1, {a for a, b in steps if b in near and a not in want}
+        want |= dict.fromkeys(near, n)
+    got = lineage.nearest_broken(spark.createDataFrame(sorted(steps), "id long, target long"), spark.createDataFrame([(b,) for b in broken], "id long"))
+    assert sorted(map(tuple, got.collect())) == sorted(want.items())
+
+
+def test_lifecycles_are_never_broadcast(spark):
+    lives = spark.range(100).select("id", F.lit("superseded").alias("disposition"), (F.col("id") + 1).alias("superseded_by"), F.lit("r").alias("reason"))
+    for found in (lineage.lifecycle_audit(lives, lives.select("id")), lineage.follow(lives.select(F.col("id").alias("node"), F.col("superseded_by").alias("next")))):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pins_and_lifecycles(spark):
     artifacts = spark.createDataFrame([(c, c * 2) for c in "abcdef"], "id string, sha256 string")
     pins = spark.createDataFrame([("a", "b", "bb"), ("b", "c", "xx"), ("d", "a", "aa"), ("d", "z", "zz"), ("e", "f", "ff"), ("c", "a", "aa")], "id string, pinned_id string, pinned_sha256 string")
