@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Keywords of JSON Schema that are checked, by what they apply to. Fixed values.
 CHECKED = {
     "any": ["type", "enum", "const"],
@@ -174,9 +176,11 @@ def schema_errors(documents: DataFrame, schema: dict, line: str = "line", text:
     compared in double precision.
     """
     spark = documents.sparkSession
+    # Every level of the rules parses the texts; what makes them (joins, groups) is done once.
+    documents = written(documents.filter(F.col(text).isNotNull()).select(line, text), "documents")
     rules = rule_table(spark, schema).withColumnsRenamed({"text": "rule_text", "number": "rule_number"})
     paths = {r[0] for r in compile_schema(schema)}
-    nodes = documents.filter(F.col(text).isNotNull()).select(F.col(line).alias("line"), F.lit("").alias("path"), F.lit("").alias("rule_path"), F.expr(f"try_parse_json(`{text}`)").alias("value"))
+    nodes = documents.select(F.col(line).alias("line"), F.lit("").alias("path"), F.lit("").alias("rule_path"), F.expr(f"try_parse_json(`{text}`)").alias("value"))
     broken = nodes.filter("value IS NULL").select("line", F.lit("<root>").alias("path"), F.lit("json").alias("keyword"), F.lit("text is not JSON").alias("message"))
     nodes, found = nodes.filter("value IS NOT NULL"), [broken]
     steps = lambda p: p.count(".") + p.count("[]")

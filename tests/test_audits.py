@@ -314,6 +314,12 @@ def test_draws_are_summed_range_by_range(spark, monkeypatch):
     assert {r.replicate: (r.numerator, r.denominator) for r in got.filter("measure = 'raw_label'").collect()} == want
 
 
+def test_schema_errors_make_their_texts_once(spark):
+    texts = spark.range(4).groupBy("id").agg(F.to_json(F.struct(F.count("*").alias("n"))).alias("text"))
+    found = documents.schema_errors(texts, {"properties": {"n": {"maximum": 0}}}, "id")
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_draws_are_never_broadcast(spark):
     rows = spark.range(100).select("id", (F.col("id") % 2).alias("a"), (F.col("id") % 3).alias("b"))
     assert "Broadcast" not in measures.bootstrap_agreement(rows, "id", "a", "b", 5, 1)._jdf.queryExecution().executedPlan().toString()
