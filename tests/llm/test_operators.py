@@ -339,6 +339,37 @@ def test_recall_of_edited_passages(edited_passages):
     assert sum(v for k, v in edited_passages.items() if least[k]) >= 0.95 * sum(1 for x in least.values() if x)
 
 
+def test_a_passage_keeps_as_many_seeds_as_the_threshold_asks():
+    rnd, least = random.Random(20), chaining.least_seeds(4, 50, 80)
+    assert least == 7
+    for _ in range(400):
+        a = rnd.sample(range(10**6), rnd.randint(50, 120))
+        b, edits = list(a), 0
+        kinds = rnd.choices(("put", "add", "cut"), k=3)
+        while 100 * (edits + 1) <= 20 * max(len(a), len(b)):
+            at, kind = rnd.randrange(len(b)), rnd.choice(kinds)
+            if kind == "cut" and len(b) == 50:
+                break
+            b[at : at + (kind != "add")] = [] if kind == "cut" else [rnd.randrange(10**6, 10**7)]
+            edits += 1
+        seeds = [chaining.seeds_of(np.array(x, np.uint64), np.array([0, len(x)]))[1] for x in (a, b)]
+        shared = [int((np.isin(x, y) & (x % 2 == 0)).sum()) for x, y in (seeds, seeds[::-1])]
+        assert min(shared) >= least
+
+
+def test_short_passages_with_every_fifth_or_sixth_word_changed_are_all_found(spark):
+    rnd = random.Random(21)
+    rows, want = [], set()
+    for words, every in ((50, 5), (52, 5), (60, 5), (52, 6), (60, 6)):
+        for _ in range(40):
+            passage = _words(rnd, words)
+            other = [_words(rnd, 1)[0] if i % every == every // 2 else w for i, w in enumerate(passage)]  # begins and ends with words that agree
+            want.add((len(rows), len(rows) + 1))
+            rows += [(len(rows) + j, " ".join(_words(rnd, 30) + x + _words(rnd, 30))) for j, x in enumerate((passage, other))]
+    got = {(min(r.doc_id, r.other_id), max(r.doc_id, r.other_id)) for r in chaining.repeated_passages(make(spark, *rows)).collect()}
+    assert got == want
+
+
 @pytest.fixture(scope="module")
 def crowded_passages(spark):
     """Share of 20 pairs found, by words of a passage, distance of the changed words, and number of documents on either side that hold 30 words of it."""
