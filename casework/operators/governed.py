@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .measures import disagreements
@@ -13,22 +13,22 @@ STATUSES = ["verified", "unverified", "stale", "deprecated"]
 BASES = ["statute", "guidance", "practice"]
 
 
+def _digest(text: str, without: str | None) -> Column:
+    """Of a JSON object in the column ``text``; a projection, so no row moves."""
+    fields = F.filter(F.map_entries(F.expr(f"try_variant_get(try_parse_json(`{text}`), '$', 'map<string, variant>')")), lambda x: ~x["key"].eqNullSafe(F.lit(without)))
+    # The name as JSON has it, after {"k": and with the closing brace
+    written = F.array_sort(F.transform(fields, lambda x: F.struct(x["key"].alias("name"), F.substring(F.to_json(F.struct(x["key"].alias("k"))), 6, 1 << 30).alias("quoted"), F.coalesce(F.to_json(x["value"]), F.lit("null")).alias("value"))))
+    return F.sha2(F.concat(F.lit("{"), F.array_join(F.transform(written, lambda x: F.concat(F.substring(x["quoted"], F.lit(1), F.length(x["quoted"]) - 1), F.lit(":"), x["value"])), ","), F.lit("}")), 256)
+
+
 def canonical_digest(documents: DataFrame, key: str, text: str, without: str | None = None) -> DataFrame:
-    """``key, digest``: SHA-256 of each JSON object with sorted keys at every depth and no white space, less its field ``without``. Text that is no JSON object has a null digest. Keys should be unique; fields of one document lie in one row."""
-    rows = documents.select(F.col(key).alias("key"), F.expr(f"try_parse_json(`{text}`)").alias("v"), F.substring(F.ltrim(F.col(text)), 1, 1).alias("first"))
-    fields = rows.filter(F.col("v").isNotNull() & (F.col("first") == "{")).alias("d")
-    fields = fields.lateralJoin(documents.sparkSession.tvf.variant_explode(F.col("d.v").outer()).toDF("pos", "name", "value"))
-    part = F.to_json(F.struct(F.col("name").alias("k")))  # the name as JSON has it, after {"k": and before the brace
-    name = F.substring(part, 6, F.length(part) - 6)
-    kept = fields.filter(~F.col("name").eqNullSafe(F.lit(without))).select("key", "name", F.concat(name, F.lit(":"), F.to_json("value")).alias("field"))
-    joined = kept.groupBy("key").agg(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "field"))), lambda x: x["field"]), ","), F.lit("}")).alias("body"))
-    empty = F.when(F.col("v").isNotNull() & (F.col("first") == "{"), F.lit("{}"))
-    return rows.join(joined, "key", "left").select(F.col("key").alias(key), F.sha2(F.coalesce("body", empty), 256).alias("digest"))
+    """``key, digest``: SHA-256 of each JSON object with sorted keys at every depth and no white space, less its field ``without``. Text that is no JSON object has a null digest. One row for each row."""
+    return documents.select(key, _digest(text, without).alias("digest"))
 
 
 def seal_documents(documents: DataFrame, key: str, text: str, pin: str) -> DataFrame:
     """``key, sealed``: each JSON object with its own digest as the field ``pin``, which the digest leaves out."""
-    sealed = documents.join(canonical_digest(documents, key, text, pin), key)
+    sealed = documents.select(key, text, _digest(text, pin).alias("digest"))
     body = F.rtrim(F.to_json(F.expr(f"try_parse_json(`{text}`)")))
     comma = F.when(body == "{}", "").otherwise(",")
     return sealed.select(key, F.when(F.col("digest").isNotNull(), F.concat(F.substring(body, 1, F.length(body) - 1), comma, F.lit(f'"{pin}":"'), F.col("digest"), F.lit('"}'))).alias("sealed"))
@@ -36,7 +36,7 @@ def seal_documents(documents: DataFrame, key: str, text: str, pin: str) -> DataF
 
 def seal_problems(sealed: DataFrame, key: str, text: str, pin: str) -> DataFrame:
     """``key, code`` of sealed documents that don't hold: ``not_an_object``, ``pin_missing``, ``pin_mismatch``."""
-    rows = sealed.select(key, F.get_json_object(text, f"$.{pin}").alias("_pin")).join(canonical_digest(sealed, key, text, pin), key)
+    rows = sealed.select(key, F.get_json_object(text, f"$.{pin}").alias("_pin"), _digest(text, pin).alias("digest"))
     code = F.when(F.col("digest").isNull(), "not_an_object").when(F.col("_pin").isNull(), "pin_missing").when(F.col("_pin") != F.col("digest"), "pin_mismatch")
     return rows.select(key, code.alias("code")).filter("code IS NOT NULL")
 

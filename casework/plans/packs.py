@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import governed, measures, tasks
+from ..session import written
 from ..sources import tables as src
 from .audits import _artifacts
 from .process import EVENTS, PROFILES_SQL, profiles
@@ -121,8 +122,9 @@ def sealed_envelopes(spark, d):
     """Orders as sealed documents, some changed, stripped of their pin or broken since."""
     k = F.col("o_orderkey")
     body = F.to_json(F.struct(F.col("o_orderstatus").alias("z"), F.struct(k.alias("order"), F.lit("é\"").alias("a")).alias("nested"), F.array(k, F.lit(2)).alias("b")))
-    docs = src.table(spark, d, "orders").select(k.alias("order_id"), F.concat(F.lit(" "), body).alias("text"))
-    sealed = governed.seal_documents(docs, "order_id", "text", "pin")
+    spread = src.table(spark, d, "orders").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), k)  # a row is few bytes and much work, so a file is too much for a task
+    docs = spread.select(k.alias("order_id"), F.concat(F.lit(" "), body).alias("text"))
+    sealed = written(governed.seal_documents(docs, "order_id", "text", "pin"), "sealed")
     later = F.when(F.col("order_id") % 11 == 0, F.replace("sealed", F.lit('"order"'), F.lit('"Order"'))).when(F.col("order_id") % 13 == 0, F.regexp_replace("sealed", ',"pin":"[0-9a-f]*"', "")).when(F.col("order_id") % 17 == 0, F.lit("[]")).otherwise(F.regexp_replace("sealed", ",", " , "))
     return governed.seal_problems(sealed.select("order_id", later.alias("sealed")), "order_id", "sealed", "pin")
 

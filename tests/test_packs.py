@@ -96,3 +96,12 @@ def test_frames_and_accounts(spark):
     r = governed.queue_accounting(side(("a", "x"), ("b", "x"), ("c", "x")), side(("a", "y"), ("b", "y"), ("c", "x")), decided).first()
     assert tuple(r) == (2, 1, 1, 1, 1, False)
     assert governed.queue_accounting(side(("a", "x")), side(("a", "x")), decided.limit(0)).first().ok
+
+
+def test_seals_move_no_row(spark):
+    docs = spark.createDataFrame([(1, '\n{"b":null,"a":{"d":1,"c":[2]},"pin":"x"}'), (2, "{}"), (3, '"{}"'), (4, None)], "id int, text string")
+    want = [(1, hashlib.sha256(b'{"a":{"c":[2],"d":1},"b":null}').hexdigest()), (2, hashlib.sha256(b"{}").hexdigest()), (3, None), (4, None)]
+    got = governed.canonical_digest(docs, "id", "text", "pin")
+    assert sorted(tuple(r) for r in got.collect()) == want
+    for plan in (got, governed.seal_documents(docs, "id", "text", "pin"), governed.seal_problems(docs, "id", "text", "pin")):
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
