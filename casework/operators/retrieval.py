@@ -7,7 +7,6 @@ import math
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -98,7 +97,7 @@ def best_chunks(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk
         def count(batches, wanted=wanted):
             for batch in batches:
                 lists = batch.column("tokens")
-                lengths = np.diff(lists.offsets.to_numpy())
+                lengths = pc.list_value_length(lists).to_numpy()
                 at = pc.index_in(lists.flatten(), value_set=wanted)
                 chunk, term = np.repeat(np.arange(len(lengths)), lengths), at.fill_null(-1).to_numpy()
                 pair, tf = np.unique(chunk[term >= 0].astype(np.int64) * len(wanted) + term[term >= 0], return_counts=True)
@@ -117,7 +116,7 @@ def best_chunks(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk
             best: list[list[tuple]] = [[] for _ in asked]  # of each query (-rounded score, key, terms), in order
             for batch in batches:
                 lists = batch.column("terms")
-                block = Postings(batch.column("length").to_numpy(), np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), batch.column("tf").flatten().to_numpy().astype(float), idf, average)
+                block = Postings(batch.column("length").to_numpy(), pc.list_value_length(lists).to_numpy(), lists.flatten().to_numpy(), batch.column("tf").flatten().to_numpy().astype(float), idf, average)
                 keys = batch.column("key").to_pylist()
                 for q, query in enumerate(asked):
                     least = -best[q][-1][0] - 10.0**-digits if len(best[q]) == k else 0.0
@@ -149,42 +148,70 @@ def search_chunks(chunks: DataFrame, query: str, k: int = 10, lexical_weight: fl
     """Blend of BM25 and feature-hash cosine for one query; chunks without a common term stay in the race with score 0."""
     if k <= 0 or not 0 <= lexical_weight <= 1 or dimensions <= 0:
         raise ValueError("k and dimensions must be positive, the weight between 0 and 1")
-    one = chunks.sparkSession.createDataFrame([("q", query)], "query_id string, text string")
-    lexical = bm25(chunks, one).drop("query_id")
-    rows = chunks.filter("text <> ''").select("chunk_id", "text").join(lexical, "chunk_id", "left").withColumn("lexical_score", F.coalesce("lexical_score", F.lit(0.0)))
-    if include_vectors:
-        vector = one.select(hash_vectors(dimensions)(tokens(F.col("text"))).alias("q"))
-        rows = rows.crossJoin(F.broadcast(vector)).withColumn("vector_score", (dot(hash_vectors(dimensions)(tokens(F.col("text"))), F.col("q")) + 1) / 2)
-    else:
-        rows = rows.withColumn("vector_score", F.lit(0.0))
+    terms = sorted(r.t for r in chunks.sparkSession.createDataFrame([(query,)], "text string").select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("t")).collect())
+    asked, kind = pa.array(terms, pa.string()), dict(chunks.dtypes)["chunk_id"]
+    repeated = chunks.sparkSession.createDataFrame([(query,)], "text string").select(tokens(F.col("text")).alias("t")).first().t
+    wanted = feature_rows(pa.array([repeated], pa.list_(pa.string())), dimensions)[0]
+
+    def scan(batches):
+        """Length, counts of the query's terms and nearness of vectors of each chunk, in one pass and without its text."""
+        for batch in (b.slice(i, j - i) for b in batches for i, j in token_slices(b.column("tokens"))):
+            lists = batch.column("tokens")
+            lengths, n = pc.list_value_length(lists).to_numpy(), max(1, len(asked))
+            at = pc.fill_null(pc.index_in(lists.flatten(), value_set=asked), -1).to_numpy()
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            tf = np.bincount(row[at >= 0] * n + at[at >= 0], minlength=len(lengths) * n)
+            near = ((feature_rows(lists, dimensions) * wanted).sum(1) + 1) / 2 if include_vectors else np.zeros(len(lengths))
+            yield pa.record_batch({"chunk_id": batch.column("chunk_id"), "length": pa.array(lengths, pa.int32()), "tf": pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1) * n, pa.int32()), pa.array(tf, pa.int32())), "vector_score": pa.array(near, pa.float64())})
+
+    listed = chunks.filter("text <> ''").select("chunk_id", tokens(F.col("text")).alias("tokens"))
+    rows = written(listed.mapInArrow(scan, f"chunk_id {kind}, length int, tf array<int>, vector_score double"), "scanned")
+    held = [F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]
+    stats = rows.agg(F.count("*").alias("docs"), F.avg("length").alias("average"), *held).first()
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        idf, tf = math.log1p((stats.docs - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5)), F.col("tf")[i]
+        score = score + F.when(tf > 0, F.lit(idf) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.greatest(F.col("length"), F.lit(1)) / F.lit(stats.average)))).otherwise(0.0)
+    matched = F.array_compact(F.array(*(F.when(F.col("tf")[i] > 0, F.lit(t)) for i, t in enumerate(terms)))) if terms else F.array().cast("array<string>")
+    rows = rows.withColumn("lexical_score", score).withColumn("matched_terms", matched)
     rows = rows.withColumn("combined", lexical_weight * F.col("lexical_score") + (1 - lexical_weight) * F.col("vector_score"))
     best = rows.orderBy(F.desc("combined"), "chunk_id").limit(k)
     rank = F.row_number().over(Window.orderBy(F.desc("combined"), "chunk_id"))  # k rows
     return best.select(rank.alias("rank"), "chunk_id", *(F.bround(c, 8).alias(a) for c, a in (("combined", "score"), ("lexical_score", "lexical_score"), ("vector_score", "vector_score"))), F.coalesce("matched_terms", F.array().cast("array<string>")).alias("matched_terms"))
 
 
+#: Tokens that a task works on at once in Python.
+SLICE_TOKENS = 500_000
+
+
+def token_slices(lists: pa.ListArray, most: int | None = None):
+    """Ranges of rows whose lists have about ``most`` entries together; a row is never cut."""
+    ends = lists.offsets.to_numpy()[1:].astype(np.int64) - lists.offsets[0].as_py() if len(lists) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.diff(ends // (most or SLICE_TOKENS))) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(lists)])) if len(lists) else []
+
+
+def feature_rows(lists: pa.ListArray, dimensions: int) -> np.ndarray:
+    """Signed feature hashing of token lists, normalised, a row each. Every distinct token is hashed once."""
+    coded = lists.flatten().dictionary_encode()
+    digests = [hashlib.blake2b(t, digest_size=16).digest() for t in coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)]
+    bucket = np.fromiter((int.from_bytes(d[:8], "big") % dimensions for d in digests), np.int64, len(digests))
+    sign = np.fromiter((1.0 if d[8] & 1 else -1.0 for d in digests), float, len(digests))
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    v = np.bincount(row * dimensions + bucket[code], sign[code], len(lists) * dimensions).reshape(len(lists), dimensions) if len(code) else np.zeros((len(lists), dimensions))
+    norm = np.sqrt((v * v).sum(1, keepdims=True))
+    return v / np.where(norm > 0, norm, 1.0)
+
+
 def hash_vectors(dimensions: int):
-    """Signed feature hashing of token lists, normalised. BLAKE2b has no built-in form, so tokens go to pandas in batches."""
-
-    @F.pandas_udf("array<double>")
-    def embed(lists: pd.Series) -> pd.Series:
-        known: dict[str, tuple[int, float]] = {}
-
-        def place(token: str) -> tuple[int, float]:
-            if token not in known:
-                d = hashlib.blake2b(token.encode(), digest_size=16).digest()
-                known[token] = int.from_bytes(d[:8], "big") % dimensions, 1.0 if d[8] & 1 else -1.0
-            return known[token]
-
-        def one(tokens) -> list[float]:
-            v = [0.0] * dimensions
-            for token in tokens if tokens is not None else ():
-                bucket, sign = place(token)
-                v[bucket] += sign
-            norm = sum(x * x for x in v) ** 0.5
-            return [x / norm for x in v] if norm else v
-
-        return lists.map(one)
+    """:func:`feature_rows` as a column. BLAKE2b has no built-in form, so tokens go to Arrow tasks, some rows at a time."""
+
+    @F.arrow_udf("array<double>")
+    def embed(lists: pa.Array) -> pa.Array:
+        parts = [feature_rows(lists.slice(a, b - a), dimensions) for a, b in token_slices(lists)]
+        flat = np.concatenate(parts).ravel() if parts else np.zeros(0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * dimensions, pa.int32()), pa.array(flat))
 
     return embed
 
