@@ -95,7 +95,7 @@ def best_chunks(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk
         ids = some.column("query_id").combine_chunks()
 
         def count(batches, wanted=wanted):
-            for batch in batches:
+            for batch in (b.slice(i, j - i) for b in batches for i, j in token_slices(b.column("tokens"))):
                 lists = batch.column("tokens")
                 lengths = pc.list_value_length(lists).to_numpy()
                 at = pc.index_in(lists.flatten(), value_set=wanted)
@@ -114,7 +114,7 @@ def best_chunks(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk
 
         def search(batches, asked=asked, ids=ids, idf=idf, average=total.average):
             best: list[list[tuple]] = [[] for _ in asked]  # of each query (-rounded score, key, terms), in order
-            for batch in batches:
+            for batch in (b.slice(i, j - i) for b in batches for i, j in token_slices(b.column("terms"))):
                 lists = batch.column("terms")
                 block = Postings(batch.column("length").to_numpy(), pc.list_value_length(lists).to_numpy(), lists.flatten().to_numpy(), batch.column("tf").flatten().to_numpy().astype(float), idf, average)
                 keys = batch.column("key").to_pylist()

@@ -8,6 +8,7 @@ import random
 
 import numpy as np
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from casework.operators import ledger, measures, retrieval
@@ -103,3 +104,18 @@ def test_bounds_leave_most_chunks_unscored():
     found, score, matched = block.best(np.array([0, 1]), 1.0)
     assert found.tolist() == [0, 1, 2, 3, 4] and (matched == 2).all() and (score > 1).all()
     assert len(block.best(np.array([0]), 1.0)[0]) == 0 and len(block.best(np.array([0]), 0.0)[0]) == 1000
+
+
+def test_feature_rows_in_slices(spark, monkeypatch):
+    """Vectors and searches don't depend on how many tokens a task takes at once."""
+    lists = [["a", "b", "a"], [], None, ["x"] * 7, ["c", "d"]]
+    rows = pa.array(lists, pa.list_(pa.string()))
+    assert retrieval.token_slices(rows, 4)[-1][1] == 5 and len(retrieval.token_slices(rows, 4)) > 1
+    whole = retrieval.feature_rows(rows, 8)
+    assert all((whole[a:b] == retrieval.feature_rows(rows.slice(a, b - a), 8)).all() for a, b in retrieval.token_slices(rows, 4))
+    chunks = spark.createDataFrame([(f"c{i}", f"red w{i % 7} blue " * (i % 5 + 1)) for i in range(60)], "chunk_id string, text string").coalesce(1)
+    queries = spark.createDataFrame([(1, "red w3"), (2, "blue w5 w6")], "query_id int, text string")
+    run = lambda: ([tuple(r) for r in retrieval.search_chunks(chunks, "red w3", 9).collect()], sorted(tuple(r) for r in retrieval.best_chunks(chunks, queries, 5).collect()))
+    want = run()
+    monkeypatch.setattr(retrieval, "SLICE_TOKENS", 20)
+    assert run() == want
