@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, release, slices
+from .common import Scratch, forget, release, slices
 from .linear import Logistic, calibrated
 
 #: Labelled rows that the models are fitted on at most, picked by hash of the id.
@@ -55,6 +55,7 @@ def meta_features(source: str, lang: str, declared: int, text_bytes: int, lines:
 def _views(batch) -> tuple[np.ndarray, np.ndarray]:
     texts, metas = [], []
     for text, source, lang, declared in zip(*(batch.column(c).to_pylist() for c in ("text", "source", "lang", "declared"))):
+        text = text or ""
         data = text.encode()
         texts.append(text_features(text, data))
         metas.append(meta_features(source, lang, declared, len(data), data.count(b"\n") + 1))
@@ -67,11 +68,13 @@ WIDTHS = len(text_features("", b"")), len(meta_features("", "", 0, 0, 1))
 
 def _featurize(batches):
     """Both views of a row as one string of 32-bit floats, and a key that tells rows apart by what the models see of them."""
+    forget()
     for batch in slices(batches):
         both = np.hstack(_views(batch)).astype(np.float32)
         data = [x.tobytes() for x in both]
         keys = [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in data]
         yield pa.record_batch({"id": batch.column("id"), "key": pa.array(keys, pa.int64()), "x": pa.array(data, pa.binary())})
+    release()
 
 
 def _split(column) -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +86,7 @@ def _proposer(models: list[Logistic], given: list[np.ndarray], most: list[int],
     """What each model would teach the other: of every task the surest rows for each label, ``most`` of a label at most."""
 
     def run(batches):
+        forget()
         best = {(v, label): (np.zeros(0, np.int64), np.zeros(0)) for v in (0, 1) for label in (0, 1)}
         for batch in slices(batches, "x"):
             keys = batch.column("key").to_numpy()
@@ -96,6 +100,7 @@ def _proposer(models: list[Logistic], given: list[np.ndarray], most: list[int],
                     best[v, label] = k[order], q[first][order]
         for (v, label), (k, q) in best.items():
             yield pa.record_batch({"view": pa.array([v] * len(k), pa.int32()), "label": pa.array([label] * len(k), pa.int32()), "key": pa.array(k, pa.int64()), "sure": pa.array(q, pa.float64())})
+        release()
 
     return run
 
@@ -140,11 +145,16 @@ class CoTrained:
         return sigma(logits[0]), sigma(logits[1]), self.combine.predict(np.stack(logits, 1))
 
 
+def _is_text(docs: DataFrame, column: str, text_col: str) -> bool:
+    return column == text_col and dict(docs.dtypes)[column] == "string"
+
+
 def _prepare(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, size_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns for the tasks. A text that is to be kept goes there once, null or not, and comes back from there: it is most of a batch, on both sides."""
     word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return docs.select(
-        F.col(id_col).cast("long").alias("id"), word(text_col).alias("text"), word(source_col).alias("source"), word(lang_col).alias("lang"), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("declared"),
-        *(F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)),
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), word(source_col).alias("source"), word(lang_col).alias("lang"), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("declared"),
+        *(F.col(c).alias(f"keep{i}") for i, c in enumerate(keep) if not _is_text(docs, c, text_col)),
     )
 
 
@@ -157,8 +167,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
     rounded half up; null labels count as none; of several rows of an id one is fitted on.
     Without any labelled row the models say 0.5 of every document.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "cotrain")
+    scratch = Scratch(docs.sparkSession, "cotrain")
     rows = _prepare(docs, id_col, text_col, source_col, lang_col, size_col)
     features = scratch.table(rows.mapInArrow(_featurize, "id long, key long, x binary"), "features")
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).dropna().groupBy("id").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
@@ -170,10 +179,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
     fitted = data.column("key").to_numpy()
 
     def propose(models, given, most, sure):
-        step = scratch.path(uuid.uuid4().hex)
         told = [np.concatenate([fitted, g]) for g in given]
-        features.select("key", "x").mapInArrow(_proposer(models, told, most, sure), "view int, label int, key long, sure double").write.parquet(step)
-        found = spark.read.parquet(step)
+        found = scratch.table(features.select("key", "x").mapInArrow(_proposer(models, told, most, sure), "view int, label int, key long, sure double"), uuid.uuid4().hex)
         best = [found.filter((F.col("view") == v) & (F.col("label") == label)).groupBy("view", "label", "key").agg(F.max("sure").alias("sure")).orderBy(F.desc("sure"), "key").limit(most[label]) for v in (0, 1) for label in (0, 1)]
         picked = scratch.table(reduce(DataFrame.unionByName, best), uuid.uuid4().hex)
         wanted = features.join(F.broadcast(picked.select("key").distinct()), "key").groupBy("key").agg(F.min("x").alias("x"))
@@ -185,14 +192,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
     return model
 
 
-def _scorer(model: CoTrained):
+def _scorer(model: CoTrained, keep: list[str]):
+    """``keep`` names the columns that go back as ``keep0``, ``keep1`` and so on."""
+
     def run(batches):
+        forget()
         for batch in slices(batches):
             a, b = _views(batch)
             pa_, pb_, p = model.score(a, b)
-            empty = np.array([not t.strip() for t in batch.column("text").to_pylist()], bool)
+            empty = np.array([not (t and t.strip()) for t in batch.column("text").to_pylist()], bool)
             p = np.where(empty, 0.0, p)
-            kept = {c: batch.column(c) for c in batch.schema.names if c.startswith("keep")}
+            kept = {f"keep{i}": batch.column(c) for i, c in enumerate(keep)}
             yield pa.record_batch({"id": batch.column("id"), "text_score": pa.array(pa_), "meta_score": pa.array(pb_), "quality_score": pa.array(p)} | kept)
         release()
 
@@ -209,7 +219,7 @@ def score_quality(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", tex
     kinds = dict(docs.dtypes)
     rows = _prepare(docs, id_col, text_col, source_col, lang_col, size_col, keep)
     schema = ", ".join(["id long, text_score double, meta_score double, quality_score double", *(f"keep{i} {kinds[c]}" for i, c in enumerate(keep))])
-    scored = rows.mapInArrow(_scorer(model), schema)
+    scored = rows.mapInArrow(_scorer(model, ["text" if _is_text(docs, c, text_col) else f"keep{i}" for i, c in enumerate(keep)]), schema)
     return scored.select(F.col("id").alias(id_col), "text_score", "meta_score", "quality_score", (F.col("quality_score") >= threshold).alias("keep"), *(F.col(f"keep{i}").alias(c) for i, c in enumerate(keep) if c != id_col))
 
 

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import release, slices
 from .myers import masks, search
 
 #: Edits allowed, in hundredths of an item's characters.
@@ -91,12 +92,14 @@ class Matcher:
 def _searcher(items: list[tuple[int, str]], error_percent: int):
     def run(batches):
         matcher = Matcher(items, error_percent) if items else None
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for id_, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 out += [(id_, *hit) for hit in (matcher.find(text) if matcher else ())]
             columns = list(zip(*out)) or [[]] * 4
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["id", "item", "distance", "end"])
+        matcher = None
+        release()
 
     return run
 

@@ -171,6 +171,7 @@ def _compare_wide(percent: int):
         for batch in batches:
             keep = [wide_difference(x, y) * (100 + percent) <= (m + n) * (100 - percent) for x, y, m, n in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "m", "n")))]
             yield batch.select(["a", "b", "c", "d"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     return run
 
@@ -203,6 +204,7 @@ def _verify(percent: int):
             x, y = batch.column("x"), batch.column("y")
             keep = [similar(x[i].values.to_numpy(), y[i].values.to_numpy()) for i in range(batch.num_rows)]
             yield batch.select([c for c in batch.schema.names if c not in "xy"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     return run
 

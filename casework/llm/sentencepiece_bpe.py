@@ -17,17 +17,16 @@ from __future__ import annotations
 
 import hashlib
 import re
-import sys
-import types
+from array import array
 from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, slices
+from .common import of_worker, release, slices
 
-#: Entries that a worker keeps of parts and of pairs, some 240 MB together when full; beyond them it forgets what it has not needed for long. Longer parts are not kept.
+#: Entries that a worker keeps of parts and of pairs; beyond them it forgets what it has not needed for long. Longer parts are not kept.
 CACHE_PARTS = 600_000
 CACHE_PAIRS = 300_000
 CACHE_CHARS = 40
@@ -41,8 +40,9 @@ class _Bounded(dict):
     Half of the entries are those asked for since it was last half full, the others those asked for in the time before.
     """
 
-    def __init__(self, make, most: int, chars: int | None = None):
-        self.make, self.most, self.chars, self.before = make, most // 2, chars, {}
+    def __init__(self, make, most: int, chars: int | None = None, key=None):
+        """``key`` gives an equal key of less memory, by which an entry is kept."""
+        self.make, self.most, self.chars, self.key, self.before = make, most // 2, chars, key, {}
 
     def __missing__(self, key):
         value = self.before.get(key)
@@ -53,7 +53,7 @@ class _Bounded(dict):
         if len(self) >= self.most:
             self.before = dict(self)
             self.clear()
-        self[key] = value
+        self[self.key(key) if self.key else key] = value
         return value
 
 
@@ -86,7 +86,10 @@ class PieceEncoder:
             self.shorter[piece] = next((piece[:n] for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.ids), piece[0] if len(piece) > 1 else "")
         self.automaton.make_automaton()
         self.parts = re.compile(self._parts([p for p in self.ids if len(p) > 1])).findall
-        self.compatible = _Bounded(self._compatible, CACHE_PAIRS)
+        own = {piece: piece for piece in self.ids}
+        self.compatible = _Bounded(self._compatible, CACHE_PAIRS, key=lambda pair: (own.get(pair[0], pair[0]), own.get(pair[1], pair[1])))
+        #: A part's ids as bytes, a fraction of a tuple's memory.
+        self.kind = "H" if self.library.get_piece_size() <= 1 << 16 else "I"
         self.encoded = _Bounded(self._encode_part, CACHE_PARTS, CACHE_CHARS)
 
     def _parts(self, longer: list[str]) -> str:
@@ -103,10 +106,10 @@ class PieceEncoder:
                 break
             marks = kept
         some = lambda chars: "".join(map(re.escape, sorted(chars)))
-        patterns = [f"{META}*[^{META}{some(alone | marks)}]+"]
+        patterns = [f" *[^ {some(alone | marks)}]+"]
         if marks:
-            patterns.append(f"{META}*[{some(marks)}]+")
-        patterns.append(f"{META}+")
+            patterns.append(f" *[{some(marks)}]+")
+        patterns.append(" +")
         if alone:
             patterns.append(f"[{some(alone)}]")
         return "|".join(patterns)
@@ -166,18 +169,19 @@ class PieceEncoder:
                 piece, last = shorter(piece, ""), out[-1] if out else ""
         return out
 
-    def _encode_part(self, part: str) -> tuple[int, ...]:
-        pieces, ids = self.pieces(part), self.ids
+    def _encode_part(self, part: str) -> bytes:
+        pieces, ids = self.pieces(part.replace(" ", META)), self.ids
         try:
-            return tuple([ids[piece] for piece in pieces])
+            found = [ids[piece] for piece in pieces]
         except KeyError:
-            return tuple(chain.from_iterable((ids[p],) if p in ids else (self.bytes[b] for b in p.encode()) for p in pieces))
+            found = list(chain.from_iterable((ids[p],) if p in ids else (self.bytes[b] for b in p.encode()) for p in pieces))
+        return array(self.kind, found).tobytes()
 
     def encode(self, text: str) -> list[int]:
-        """The ids of a text."""
+        """The ids of a text. Parts have spaces for the marks, which mean the same: with a mark in it every character of a part would take two bytes."""
         if not text:
             return []
-        return list(chain.from_iterable(map(self.encoded.__getitem__, self.parts(self.prefix + text.replace(" ", META)))))
+        return array(self.kind, b"".join(map(self.encoded.__getitem__, self.parts((self.prefix + text).replace(META, " "))))).tolist()
 
 
 #: What :func:`tokenize` can return, and the types.
@@ -186,9 +190,10 @@ _ARROW = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "ids_sha256": pa.
 
 
 def _of_worker(model: str) -> PieceEncoder:
-    """The encoder of this Python worker, with its caches, for the task at hand. Tasks of a worker come one after the other and meet the same words; functions that travel by value have no module of their own to keep it in."""
-    kept = sys.modules.setdefault("casework_of_worker", types.ModuleType("casework_of_worker")).__dict__
+    """The encoder of this Python worker, with its caches, for the task at hand. Tasks of a worker come one after the other and meet the same words."""
+    kept = of_worker()
     if kept.get("model") != model:
+        release()  # what tasks of other stages have left
         kept.update(model=model, encoder=PieceEncoder(model))
     return kept["encoder"]
 

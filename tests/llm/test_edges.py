@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import weakref
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from casework.llm import chaining, cotrain, decontaminate, ngram_join, toxicity
+from casework.llm import chaining, cotrain, decontaminate, ngram_join, sentencepiece_bpe, toxicity
 
 from .test_operators import make
 
@@ -30,6 +32,38 @@ def test_quality_keeps_a_row_for_a_row(spark, texts):
     assert len({r.keep for r in got if r.doc_id == 7}) == 1 and sorted(r.doc_id for r in got if r.doc_id in (500, 501)) == [500, 501]
 
 
+def test_a_kept_text_is_sent_to_tasks_once(spark):
+    """A batch's texts are most of its memory, in the executor and in Python; a kept null stays one."""
+    docs = make(spark, (1, "some words"), (2, None), (3, ""))
+    model = cotrain.fit_quality(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), rounds=0)
+    sent = cotrain._prepare(docs, "doc_id", "text", "source", "lang", "n_chars", keep=("text", "lang"))
+    assert len(sent.columns) == 6 and sorted(r.text or "" for r in sent.collect()) == ["", "", "some words"]
+    got = {r.doc_id: r for r in cotrain.score_quality(docs, model, keep=("text", "lang")).collect()}
+    assert [got[i].text for i in (1, 2, 3)] == ["some words", None, ""] and got[2].quality_score == got[3].quality_score == 0
+
+
+@pytest.mark.parametrize("stage", [cotrain._featurize, cotrain._proposer([], [], [0, 0], 1.0), cotrain._scorer(None, [])])
+def test_quality_drops_the_encoder_that_its_worker_has_kept(stage):
+    """Workers outlive their tasks: what a run of the tokenizer has left would count against the classifier."""
+    kept = sentencepiece_bpe._of_worker(public_tokenizers.path("piece_bpe_32k.model"))
+    assert sentencepiece_bpe._of_worker(public_tokenizers.path("piece_bpe_32k.model")) is kept
+    gone = weakref.ref(kept)
+    del kept
+    assert gone() is not None
+    list(stage(iter([])))
+    assert gone() is None
+
+
+def test_the_encoder_keeps_a_part_in_few_bytes():
+    """Entries are most of what a worker of the tokenizer holds: ids as bytes, keys without the two-byte mark, pieces of pairs not copied."""
+    encoder = sentencepiece_bpe.PieceEncoder(public_tokenizers.path("piece_bpe_32k.model"))
+    text = "unbelievable words of some▁length are repeated, unbelievable words"
+    assert encoder.encode(text) == encoder.library.encode(text)
+    assert all(k.isascii() and isinstance(v, bytes) and len(v) % 2 == 0 for k, v in encoder.encoded.items()) and " unbelievable" in encoder.encoded
+    own = {id(p) for p in encoder.ids}
+    assert encoder.compatible and all(id(p) in own for pair in encoder.compatible for p in pair if p in encoder.ids)
+
+
 def test_toxicity_scores_a_row_for_a_row(spark, texts):
     rows = [(i, texts(50) + (" stinker" if i % 5 == 0 else "")) for i in range(300)]
     odd = [(None, texts(30) + " stinker"), (None, texts(30)), (5, rows[5][1]), (5, rows[5][1]), (6, texts(30) + " stinker"), (500, texts(100_000) + " stinker " + texts(100)), (501, texts(100_000))]
