@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import weakref
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,49 @@ def test_the_encoder_keeps_a_part_in_few_bytes():
     assert encoder.compatible and all(id(p) in own for pair in encoder.compatible for p in pair if p in encoder.ids)
 
 
+def test_chains_that_are_left_out_give_no_passage():
+    """Many short chains are extended at once; those left out are just such as give nothing one by one."""
+    rnd, kept, gone = random.Random(5), 0, 0
+    for n in range(40):
+        phrases = [[rnd.randrange(60) for _ in range(rnd.randint(4, 30))] for _ in range(12)]
+        texts_ = [sum((rnd.choice(phrases) + [rnd.randrange(60 + n * 20) for _ in range(rnd.randint(0, 6))] for _ in range(25)), []) for _ in range(2)]
+        x, y = (np.array(t, np.int32) for t in texts_)
+        found = chaining.chains(chaining.anchors_of(chaining.Side(x, 4), chaining.Side(y, 4)))
+        some = chaining.promising(x, y, found, 4, 50, 80)
+        useful = [c for c in found if chaining.passages_of(x, y, c, 4, 50, 80)]
+        assert [c for c in some if c in useful] == useful
+        kept, gone = kept + len(useful), gone + len(found) - len(some)
+    assert kept >= 10 and gone > 200
+
+
+def test_rounds_read_the_texts_of_the_round_before(spark, monkeypatch):
+    """A further round joins with the texts of the documents that it may still pair, not with all documents again."""
+    rnd = random.Random(9)
+    words = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    ids, docs = iter(rnd.sample(range(10_000), 700)), [(20_000 + i, " ".join(words(60))) for i in range(300)]
+    pairs = []
+    for _ in range(4):
+        p = words(100)
+        q = [words(1)[0] if i % 8 == 7 else w for i, w in enumerate(p)]
+        a, b = next(ids), next(ids)
+        pairs.append({a, b})
+        docs += [(a, " ".join(words(60) + p + words(60))), (b, " ".join(words(60) + q + words(60)))]
+        for text in (p, q) * 20:
+            at = rnd.randrange(66)
+            docs.append((next(ids), " ".join(words(40) + text[at : at + 35] + words(40))))
+    sizes, join = {}, chaining.bloom_join
+
+    def counted(scratch, name, large, small, key, then):
+        sizes[name] = large.count()
+        return join(scratch, name, large, small, key, then)
+
+    monkeypatch.setattr(chaining, "bloom_join", counted)
+    found = [{r.doc_id, r.other_id} for r in chaining.repeated_passages(make(spark, *docs)).collect()]
+    assert all(p in found for p in pairs)
+    later = {k: n for k, n in sizes.items() if k.startswith(("again-", "words-"))}
+    assert later and all(n < 200 for n in later.values()) and len(docs) > 400
+
+
 def test_toxicity_scores_a_row_for_a_row(spark, texts):
     rows = [(i, texts(50) + (" stinker" if i % 5 == 0 else "")) for i in range(300)]
     odd = [(None, texts(30) + " stinker"), (None, texts(30)), (5, rows[5][1]), (5, rows[5][1]), (6, texts(30) + " stinker"), (500, texts(100_000) + " stinker " + texts(100)), (501, texts(100_000))]
