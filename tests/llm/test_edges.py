@@ -108,6 +108,31 @@ def test_rounds_read_the_texts_of_the_round_before(spark, monkeypatch):
     assert later and all(n < 200 for n in later.values()) and len(docs) > 400
 
 
+def test_rounds_have_plans_of_one_size(spark, monkeypatch):
+    """The driver plans every round; what each has found is read as one table, not as the union of all rounds before."""
+    rnd = random.Random(16)
+    words = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    docs = []
+    for i in range(6):
+        p = words(50)
+        for j in range(50):
+            at = rnd.randint(0, len(p) - 35)
+            docs.append((100 * i + j, " ".join(words(9) + p[at : at + 35] + words(9))))
+        docs += [(100 * i + at, " ".join(words(20) + p + words(20))) for at in (60, 61)]
+    sizes, table = {}, chaining.Scratch.table
+    leaves = lambda df: df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+    def counted(self, df, name, *more):
+        sizes[name] = leaves(df)
+        return table(self, df, name, *more)
+
+    monkeypatch.setattr(chaining.Scratch, "table", counted)
+    found = chaining.repeated_passages(make(spark, *docs))
+    assert leaves(found) == 1 and all(any({r.doc_id, r.other_id} == {100 * i + 60, 100 * i + 61} for r in found.collect()) for i in range(6))
+    rounds = [[n for name, n in sizes.items() if name.endswith(f"-{turn}")] for turn in range(1 + max(int(x.split("-")[1]) for x in sizes if "-" in x))]
+    assert len(rounds) >= 3 and max(map(max, rounds[2:])) <= max(rounds[1])
+
+
 def test_toxicity_scores_a_row_for_a_row(spark, texts):
     rows = [(i, texts(50) + (" stinker" if i % 5 == 0 else "")) for i in range(300)]
     odd = [(None, texts(30) + " stinker"), (None, texts(30)), (5, rows[5][1]), (5, rows[5][1]), (6, texts(30) + " stinker"), (500, texts(100_000) + " stinker " + texts(100)), (501, texts(100_000))]
