@@ -7,6 +7,7 @@ import weakref
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,32 @@ def test_chains_that_are_left_out_give_no_passage():
     assert kept >= 10 and gone > 200
 
 
+def test_few_chains_are_aligned_in_vain(monkeypatch):
+    """The chains of many pairs are judged at once, also where a pair has few; passages and open parts are those of all chains one by one."""
+    rnd, rows = random.Random(8), []
+    for n in range(300):
+        own = lambda m: [rnd.randrange(1 << 30) for _ in range(m)]
+        x, y = own(20), own(20)
+        for _ in range(rnd.randint(1, 6)):
+            part = own(rnd.randint(4, 70))
+            x += part + own(rnd.randint(1, 9))
+            y += [w if rnd.random() > 0.1 else own(1)[0] for w in part] + own(rnd.randint(1, 9))
+        rows.append((n // 3, 1000 + n, n % 2 == 0, x, y if n % 3 == 0 else rows[-1][4]))
+    cut = lambda a, b: pa.record_batch({c: pa.array([r[i] for r in rows[a:b]], t) for i, (c, t) in enumerate({"hub": pa.int64(), "id": pa.int64(), "both": pa.bool_(), "x": pa.list_(pa.int32()), "y": pa.list_(pa.int32())}.items())})
+    want, calls, judge = [], [], chaining.passages_of
+    for hub, id_, both, x, y in rows:
+        x, y = np.array(x, np.int32), np.array(y, np.int32)
+        found = chaining.chains(chaining.anchors_of(chaining.Side(x, 4), chaining.Side(y, 4)))
+        told = chaining.passages_between(x, y, found, 4, 50, 80)
+        want += [(id_, *p[:2], hub, *p[2:]) for p in told] + [(hub, *p[2:4], id_, *p[:2], p[4]) for p in told if both]
+        if found and not told:
+            (a, b), (c, d) = found[0][0], found[0][-1]
+            want.append((id_, a, c + 4, hub, b, d + 4, chaining.OPEN))
+    monkeypatch.setattr(chaining, "passages_of", lambda *a: calls.append(judge(*a)) or calls[-1])
+    got = [tuple(r.values()) for batch in chaining._aligner(4, 50, 80)(iter([cut(0, 0), cut(0, 100), cut(100, 300).slice(0, 150), cut(250, 300)])) for r in batch.to_pylist()]
+    assert sorted(got) == sorted(want) and sum(not c for c in calls) < 20 < sum(bool(c) for c in calls)
+
+
 def test_rounds_read_the_texts_of_the_round_before(spark, monkeypatch):
     """A further round joins with the texts of the documents that it may still pair, not with all documents again."""
     rnd = random.Random(9)
