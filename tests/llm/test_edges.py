@@ -160,6 +160,42 @@ def test_rounds_have_plans_of_one_size(spark, monkeypatch):
     assert len(rounds) >= 3 and max(map(max, rounds[2:])) <= max(rounds[1])
 
 
+def test_rounds_are_few_in_a_large_crowd(spark, monkeypatch):
+    """Hubs resolve a crowd a few documents at a time; as crowds that pair in full double, the rounds grow with the logarithm of the crowd. A hub's pairs dealt to several tasks give the same."""
+    rnd = random.Random(3)
+    words = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    p, docs = words(60), []
+    for i in range(50):
+        at = rnd.randint(0, 24)
+        docs.append((i, " ".join(words(9) + p[at : at + 36] + words(9))))
+    docs += [(i, " ".join(words(9) + p + words(9))) for i in (1000, 1001)]
+    names, table = [], chaining.Scratch.table
+    monkeypatch.setattr(chaining.Scratch, "table", lambda self, df, name, *more: names.append(name) or table(self, df, name, *more))
+    monkeypatch.setattr(chaining, "HUB_PAIRS", 5)
+    monkeypatch.setattr(chaining, "TASK_PAIRS", 20)
+    found = chaining.repeated_passages(make(spark, *docs)).collect()
+    assert {frozenset((r.doc_id, r.other_id)) for r in found} == {frozenset((1000, 1001))}
+    assert sum(name.startswith("found-") for name in names) <= 5  # 13 with hubs alone
+
+
+def test_known_documents_pair_with_others_only():
+    """Documents of a seed: all open ones pair as long as they are few, more with the open ones' hubs; a known one pairs with open ones, never with its like, and is no hub."""
+    text, known = " ".join(f"w{i}" for i in range(10)), {1, 4, 30}
+    for crowd, ids in ((8, range(1, 9)), (8, range(1, 31))):
+        part = lambda some: [[{"from": 0, "to": 10}] if (i in known) == some else [] for i in ids]
+        kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+        batch = pa.record_batch({"id": pa.array(ids, pa.int64()), "text": pa.array([text] * len(ids)), "parts": pa.array(part(False), kind), "known": pa.array(part(True), kind)})
+        sent = pa.Table.from_batches(list(chaining._sender(1, 4, 36, 50)(iter([batch]))))
+        got = {(r["a"], r["b"]): r["told"] for r in chaining._owner(crowd, 7)(sent).to_pylist()}
+        alone = [i for i in ids if i not in known]
+        every = {(a, b) for a in ids for b in ids if a < b and not {a, b} <= known}
+        hubs = {alone[0], alone[-1]}
+        want = every if len(alone) <= crowd else {(a, b) for a, b in every if {a, b} & hubs}
+        assert set(got) == want
+        if len(alone) > crowd:
+            assert got[alone[0], alone[-1]] == 3 and got[1, alone[0]] == 2 and got[1, alone[-1]] == 2 and got[alone[0], 5] == 1 and got[alone[-1], 30] == 1
+
+
 def test_toxicity_scores_a_row_for_a_row(spark, texts):
     rows = [(i, texts(50) + (" stinker" if i % 5 == 0 else "")) for i in range(300)]
     odd = [(None, texts(30) + " stinker"), (None, texts(30)), (5, rows[5][1]), (5, rows[5][1]), (6, texts(30) + " stinker"), (500, texts(100_000) + " stinker " + texts(100)), (501, texts(100_000))]
